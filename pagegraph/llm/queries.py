@@ -1,6 +1,12 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
+from . import topk
+from .media import op4_avi_mjpeg
 from .packing import op3_best_fit_packing
+from .sharding import op10_stratified_sharding
+from .topk import op1_term_topk
+from .toxicity import op5_lexicon_toxicity
+from .transducer import op6_bpe_transducer
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_term_topk, op3_best_fit_packing, op4_avi_mjpeg, op5_lexicon_toxicity, op6_bpe_transducer, op10_stratified_sharding)}
+ORACLES = {"op1_term_topk": topk.ORACLE}
