@@ -43,11 +43,11 @@ QUOTES = re.compile("[\"“”«»„]")
 class Lexicon:
     """Terms and stems as a trie, read through a lazily determinised one-edit Levenshtein automaton."""
 
-    def __init__(self, terms: dict[str, bool], fuzzy_from: int = 5):
-        """``terms``: term -> whether it is a stem; terms of ``fuzzy_from`` letters or more also match with one edit."""
+    def __init__(self, terms: dict[str, tuple[bool, bool]]):
+        """``terms``: term -> (is it a stem, may it be misspelled by one edit)."""
         self.children: list[dict[str, int]] = [{}]
-        self.kind: list[tuple[bool, bool] | None] = [None]  # (is_stem, allows an edit)
-        for term, stem in terms.items():
+        self.kind: list[tuple[bool, bool, str] | None] = [None]
+        for term, (stem, edit) in terms.items():
             node = 0
             for c in term:
                 if c not in self.children[node]:
@@ -55,10 +55,11 @@ class Lexicon:
                     self.children.append({})
                     self.kind.append(None)
                 node = self.children[node][c]
-            self.kind[node] = (stem, len(term) >= fuzzy_from)
+            self.kind[node] = (stem, edit, term)
         self.moves: list[dict[str, int]] = []
         self.value: list[tuple[float, float]] = []  # (as a stem from here on, at the word's end)
         self.known: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
         self.start = self.state({(0, 0)})
 
     def state(self, nodes: set[tuple[int, int]]) -> int:
@@ -70,17 +71,17 @@ class Lexicon:
         key = frozenset(closed)
         if key not in self.known:
             self.known[key] = len(self.moves)
+            self.sets.append(key)
             ends = [(self.kind[n], spent) for n, spent in key if self.kind[n]]
-            good = [(stem, 0.5 if spent else 1.0) for (stem, edit), spent in ends if edit or not spent]
+            good = [(stem, 0.5 if spent else 1.0) for (stem, edit, _), spent in ends if edit or not spent]
             self.moves.append({})
             self.value.append((max((v for stem, v in good if stem and v == 1.0), default=0.0), max((v for _, v in good), default=0.0)))
         return self.known[key]
 
     def step(self, state: int, c: str) -> int:
         """-1: no term is left."""
-        nodes = next(k for k, v in self.known.items() if v == state)
         after = set()
-        for node, spent in nodes:
+        for node, spent in self.sets[state]:
             if c in self.children[node]:
                 after.add((self.children[node][c], spent))
             if not spent:
@@ -89,6 +90,16 @@ class Lexicon:
         to = self.moves[state][c] = self.state(after) if after else -1
         return to
 
+    def near(self, word: str) -> list[str]:
+        """The terms that are one edit from ``word`` or equal it."""
+        state = self.start
+        for c in word:
+            to = self.moves[state].get(c)
+            state = self.step(state, c) if to is None else to
+            if state < 0:
+                return []
+        return [self.kind[n][2] for n, _ in self.sets[state] if self.kind[n]]
+
     def match(self, word: str) -> float:
         """1 for a term or a word that begins with a stem, 1/2 for a term with one edit, else 0."""
         state, found = self.start, 0.0
@@ -116,13 +127,13 @@ class Hits(dict):
         return value
 
 
-def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, float]:
-    """(weight of hits in plain speech, weight of hits in quotation) of a text."""
+def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, float, float]:
+    """Weights of the terms as spelled, of misspelled terms, and of terms in quotation."""
     words = (text or "").lower().split()
     values = [*map(hits.__getitem__, words)]
     if not any(values):
-        return 0.0, 0.0
-    plain = quoted = 0.0
+        return 0.0, 0.0, 0.0
+    plain = misspelled = quoted = 0.0
     opened, last = 0, 0
     marks = [len(QUOTES.findall(w)) for w in words] if QUOTES.search(text) else None
     for i, v in enumerate(values):
@@ -138,57 +149,68 @@ def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, floa
             inside = opened % 2 == 1 or words[i][:1] in "\"“«„"
         if inside or bare & REPORTING:
             quoted += weight
+        elif v < 1:
+            misspelled += weight
         else:
             plain += weight
-    return plain, quoted
+    return plain, misspelled, quoted
 
 
-def features(weights: tuple[float, float]) -> list[float]:
+def features(weights: tuple[float, ...]) -> list[float]:
     return [1.0, *map(math.log1p, weights)]
 
 
-def learn_terms(rows: list[tuple[str, int]], *, least_contexts: int = 5, most_clean: float = 0.02, stem_from: int = 4, family: int = 4, most_terms: int = 5_000) -> dict[str, bool]:
-    """Lexicon terms (term -> is it a stem) from (text, toxic) rows."""
+def learn_terms(rows: list[tuple[str, int]], *, chance: float = 0.05, most_clean: float = 0.02, stem_from: int = 4, family: int = 4, fuzzy_from: int = 5, most_terms: int = 5_000) -> dict[str, tuple[bool, bool]]:
+    """Lexicon terms (term -> (is it a stem, may it be misspelled)) from (text, toxic) rows.
+
+    A term needs so many toxic rows and contexts that fewer than ``chance`` words of the
+    vocabulary would reach them if words fell on rows by accident.  It may be misspelled
+    if hardly any word of clean rows is one edit away.
+    """
     contexts: dict[str, set] = defaultdict(set)
     toxic_rows: Counter = Counter()
+    clean: Counter = Counter()
+    toxic_words, n = [], [0, 0]
     for text, toxic in rows:
+        n[bool(toxic)] += 1
+        words = [" ".join(WORD.findall(w)) for w in text.lower().split()]
         if toxic:
-            words = [" ".join(WORD.findall(w)) for w in text.lower().split()]
             for before, word in zip(["", *words], words):
                 contexts[word].add(before)
-            toxic_rows.update(set(words))
-    contexts = {w: c for w, c in contexts.items() if len(w) >= 3}
-    heads: Counter = Counter()
-    clean: Counter = Counter()
+            toxic_words.append(set(words))
+            toxic_rows.update(toxic_words[-1])
+        else:
+            clean.update(set(words))
+    if not all(n):
+        return {}
+    share = n[1] / sum(n)
+    least = max(4, math.ceil(math.log(max(2, len(contexts)) / chance) / -math.log(share)))
+    pure = lambda toxic_n, clean_n: clean_n * n[1] <= most_clean * toxic_n * n[0]
     clean_heads: Counter = Counter()
-    n_clean = n_toxic = 0
-    for text, toxic in rows:
-        n_toxic += bool(toxic)
-        if toxic:
-            continue
-        n_clean += 1
-        words = {" ".join(WORD.findall(w)) for w in set(text.lower().split())}
-        clean.update(w for w in words if w in contexts)
-        clean_heads.update({w[:n] for w in words for n in range(stem_from, min(len(w), 10) + 1)})
-    pure = lambda toxic_n, clean_n: clean_n * max(1, n_toxic) <= most_clean * toxic_n * max(1, n_clean)
-    stems: dict[str, set] = defaultdict(set)
-    forms: Counter = Counter()
-    for word, seen in contexts.items():
-        for n in range(stem_from, min(len(word), 10) + 1):
-            head = word[:n]
-            if pure(1, clean_heads[head]):
-                stems[head] |= seen
-                forms[head] += 1
-                heads[head] += toxic_rows[word]
-    chosen = {h for h, seen in stems.items() if forms[h] >= family and len(seen) >= max(2 * least_contexts, 0.6 * heads[h]) and len(seen) >= 0.01 * n_toxic}
-    # of nested stems the one that goes on as long as it loses no contexts, then the shortest
-    chosen = {h for h in chosen if not any(len(h) < len(o) and o.startswith(h) and len(stems[o]) == len(stems[h]) for o in chosen)}
-    chosen = {h for h in chosen if not any(h != o and h.startswith(o) for o in chosen)}
-    scored = []
-    for word, seen in contexts.items():
-        if len(seen) >= max(least_contexts, 0.6 * toxic_rows[word]) and pure(toxic_rows[word], clean[word]) and not any(word.startswith(h) for h in chosen):
-            scored.append((-len(seen), word))
-    return {h: True for h in sorted(chosen)} | {w: False for _, w in sorted(scored)[:most_terms]}
+    for word, k in clean.items():
+        for m in range(stem_from, min(len(word), 10) + 1):
+            clean_heads[word[:m]] += k
+    forms: dict[str, set] = defaultdict(set)
+    for word in contexts:
+        for m in range(stem_from, min(len(word), 10) + 1):
+            if pure(n[1], clean_heads[word[:m]]):
+                forms[word[:m]].add(word)
+    forms = {h: own for h, own in forms.items() if len(own) >= family and sum(toxic_rows[w] for w in own) >= least}
+    with_head: Counter = Counter()
+    for words in toxic_words:
+        with_head.update({w[:m] for w in words for m in range(stem_from, min(len(w), 10) + 1) if w[:m] in forms})
+    seen = {h: len(set().union(*(contexts[w] for w in own))) for h, own in forms.items()}
+    good = {h for h in forms if with_head[h] >= least and seen[h] >= max(least, 0.6 * with_head[h]) and pure(with_head[h], clean_heads[h])}
+    good = {h for h in good if not any(o != h and o.startswith(h) and with_head[o] >= 0.9 * with_head[h] for o in good)}
+    stems = {h for h in good if not any(o != h and h.startswith(o) for o in good)}
+    words = [(-len(c), w) for w, c in contexts.items() if len(w) >= 3 and toxic_rows[w] >= least and len(c) >= max(least, 0.6 * toxic_rows[w]) and pure(toxic_rows[w], clean[w]) and not any(w.startswith(h) for h in stems)]
+    terms = {h: True for h in sorted(stems)} | {w: False for _, w in sorted(words)[:most_terms]}
+    beside: Counter = Counter()
+    lexicon = Lexicon({t: (stem, True) for t, stem in terms.items()})
+    for word, k in clean.items():
+        for term in lexicon.near(word):
+            beside[term] += k
+    return {t: (stem, not stem and len(t) >= fuzzy_from and pure(toxic_rows[t], beside[t])) for t, stem in terms.items()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -209,7 +231,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) ->
 class Model:
     """Terms and weights: all that a worker needs, a few hundred kilobytes at most."""
 
-    def __init__(self, terms: dict[str, bool], weights: list[float]):
+    def __init__(self, terms: dict[str, tuple[bool, bool]], weights: list[float]):
         self.terms, self.weights = terms, weights
 
     def scorer(self):
@@ -222,7 +244,7 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2_000, most_clean: int = 4_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1_500, most_clean: int = 6_000) -> Model:
     """Learns from at most ``most_toxic`` and ``most_clean`` labelled rows of the training folds, taken in the order of a hash of doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.fold_column() != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).select("doc_id", "_toxic", F.xxhash64("doc_id").alias("_order"))
@@ -232,14 +254,14 @@ def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2_000, most_c
         sample = part if sample is None else sample.unionByName(part)
     chosen = {r.doc_id: r._toxic for r in sample.collect()}
     if not chosen:
-        return Model({}, [-5.0, 0.0, 0.0])
+        return Model({}, [-5.0, 0.0, 0.0, 0.0])
     small = F.broadcast(docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, _toxic int"))  # at most most_toxic + most_clean rows
     rows = sorted((r.doc_id, r.text or "", r._toxic) for r in docs.select("doc_id", "text").join(small, "doc_id").collect())
     rows = [(t, y) for _, t, y in rows]
     terms = learn_terms(rows)
     hits = Hits(Lexicon(terms))
-    x = np.array([features(evidence(t, hits)) for t, _ in rows]) if rows else np.zeros((0, 3))
-    return Model(terms, fit(x, np.array([y for _, y in rows], dtype=float)).tolist() if len(rows) else [-5.0, 0.0, 0.0])
+    x = np.array([features(evidence(t, hits)) for t, _ in rows]) if rows else np.zeros((0, 4))
+    return Model(terms, fit(x, np.array([y for _, y in rows], dtype=float)).tolist() if len(rows) else [-5.0, 0.0, 0.0, 0.0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
