@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zlib
 from pathlib import Path
 
@@ -37,6 +38,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, as a Parquet table in the same folder: smaller, and later scans read only the columns they need."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "pagegraph-checkpoints"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def members_of(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may occur in ``ids``: all that do, and a few others.
+
+    A bit map of ``bits`` bits is broadcast, so at most ``bits / 32`` short rows however
+    large ``ids`` is; it spares most rows the exact join that follows.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
+    words = ids.select(place.alias("_p")).selectExpr("cast(div(_p, 32) as int) as _w", "shiftleft(1L, _p % 32) as _b").groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    marked = df.withColumn("_p", place).withColumn("_w", F.expr("cast(div(_p, 32) as int)"))
+    return marked.join(F.broadcast(words), "_w").where("shiftright(_b, _p % 32) & 1 = 1").drop("_w", "_b", "_p")
+
+
 def fold(value: object) -> int:
     """crc32 of an id's decimal text modulo 5, which deals documents into train and held-out folds.
 
