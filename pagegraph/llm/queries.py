@@ -3,6 +3,7 @@
 from . import lines, topk
 from .jaccard import op7_token_group_join
 from .lines import op8_line_dedup
+from .lm import op9_subword_lattice
 from .media import op4_avi_mjpeg
 from .packing import op3_best_fit_packing
 from .sharding import op10_stratified_sharding
@@ -10,5 +11,5 @@ from .topk import op1_term_topk
 from .toxicity import op5_lexicon_toxicity
 from .transducer import op6_bpe_transducer
 
-QUERIES = {f.__name__: f for f in (op1_term_topk, op3_best_fit_packing, op4_avi_mjpeg, op5_lexicon_toxicity, op6_bpe_transducer, op7_token_group_join, op8_line_dedup, op10_stratified_sharding)}
+QUERIES = {f.__name__: f for f in (op1_term_topk, op3_best_fit_packing, op4_avi_mjpeg, op5_lexicon_toxicity, op6_bpe_transducer, op7_token_group_join, op8_line_dedup, op9_subword_lattice, op10_stratified_sharding)}
 ORACLES = {"op1_term_topk": topk.ORACLE, "op8_line_dedup": lines.ORACLE}
