@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -285,5 +285,18 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, hot_from: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """``docs``, all columns, with one document of each component, the one with the smallest doc_id; documents without shingles or doc_id stay."""
+    found = common.stored(similar(docs, **how).where("doc_id is not null and n_shingles > 0"))
+    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    # rows that repeat a doc_id: the one whose text comes last, which is never an empty one
+    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*kept.columns).alias("row"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("row.text")))).where("at = 1").select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))
+
+
 def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(common.table(spark, sf_dir, "documents"))

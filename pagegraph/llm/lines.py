@@ -101,20 +101,28 @@ def dropped_lines(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
 
 
 def dedup(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
-    """``docs``, all columns, with ``_lines``, ``_dropped`` and ``_text``, the text without the dropped lines."""
-    gone = dropped_lines(docs, least_words=least_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).join(gone, "_doc", "left").drop("_doc")
-    lines = F.split("text", "\n")
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), "_gone")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    left = F.when(F.col("_gone").isNull() | F.col("text").isNull(), n).otherwise(F.size(kept))
-    return joined.select(*docs.columns, n.alias("_lines"), (n - left).alias("_dropped"), text.alias("_text"))
+    """(row, n_lines, n_dropped, text): each row of ``docs`` as a struct, its lines, how many of them go, and the text without those."""
+    gone = dropped_lines(docs, least_words=least_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    rows = rows.join(gone, "doc", "left").withColumn("lines", F.split("row.text", "\n"))
+    n = F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("lines")), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
+    same = F.col("gone").isNull() | F.col("row.text").isNull()
+    text = F.when(same, F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
+    left = F.when(same, n).otherwise(F.size(kept))
+    return rows.select("row", n.alias("n_lines"), (n - left).alias("n_dropped"), text.alias("text"))
+
+
+def without_repeats(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
+    """``docs``, all columns, with text (and n_chars, if there) less the dropped lines; documents of which nothing but blanks is left go."""
+    out = dedup(docs, least_words=least_words).where("n_dropped = 0 or length(trim(text)) > 0")
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("text_md5"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 ORACLE = r"""
