@@ -97,9 +97,10 @@ def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def statistics(live: DataFrame, universe: DataFrame) -> DataFrame:
     """One row: articles, redirects, links of articles to live pages, and null links (titles without a page, and links to them)."""
-    pages = live.agg(F.count_if(~F.col("is_redirect")).alias("articles"), F.count_if("is_redirect").alias("redirects"))
     titles = live.select("title", F.lit(True).alias("has_page"))
     links = page_links(live.where("not is_redirect")).join(titles.withColumnRenamed("title", "link"), "link", "left")
-    links = links.agg(F.count("has_page").alias("links"), F.count_if(F.col("has_page").isNull()).alias("dead"))
-    empty = universe.join(titles, "title", "left_anti").agg(F.count("*").alias("empty"))
-    return pages.crossJoin(links).crossJoin(empty).select("articles", "redirects", "links", (F.col("dead") + F.col("empty")).alias("null_links"))  # one row each
+    zero = F.lit(0).cast("long")
+    parts = live.agg(F.count_if(~F.col("is_redirect")).alias("articles"), F.count_if("is_redirect").alias("redirects")).select("*", zero.alias("links"), zero.alias("null_links"))
+    parts = parts.unionByName(links.agg(F.count("has_page").alias("links"), F.count_if(F.col("has_page").isNull()).alias("null_links")).select(zero.alias("articles"), zero.alias("redirects"), "*"))
+    parts = parts.unionByName(universe.join(titles, "title", "left_anti").agg(F.count("*").alias("null_links")).select(zero.alias("articles"), zero.alias("redirects"), zero.alias("links"), "*"))
+    return parts.agg(*(F.sum(c).alias(c) for c in ("articles", "redirects", "links", "null_links")))
