@@ -1,12 +1,20 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares, and finding this package from its workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def visible(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, unless they can already (``--py-files``, ``PYTHONPATH``)."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) + env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def _folder(df: DataFrame) -> str:
