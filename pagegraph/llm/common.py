@@ -1,22 +1,13 @@
-"""Helpers shared by the operators: reading, lineage cuts, hashing, partition plans."""
+"""Helpers shared by the operators: reading, cutting lineage, hashing, partition plans."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def visible(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, unless they can already (``--py-files``, ``PYTHONPATH``)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) + env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+from ..lineage import checkpoint, stored, visible
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,30 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder, so that lost executors cost no lineage.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary folder is taken instead.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "pagegraph-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, as a Parquet table in the same folder: smaller, and later scans read only the columns they need."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "pagegraph-checkpoints"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def members_of(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
     """The rows of ``df`` whose ``column`` may occur in ``ids``: all that do, and a few others.
 
@@ -74,6 +41,9 @@ def fold_column(name: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+__all__ = ["checkpoint", "fold", "fold_column", "members_of", "slices", "stored", "table", "visible"]
+
+
 def slices(column, size: int):
     """Python values of an Arrow column, ``size`` rows at a time, so that few long texts are alive at once."""
     for start in range(0, len(column), size):

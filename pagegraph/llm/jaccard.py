@@ -3,10 +3,11 @@
 A document is the set of its distinct word shingles, hashed to 64 bits.  Documents with
 one and the same set form a class and are represented by their smallest doc_id.
 
-1. Classes are partitioned into groups of similar sets: a class joins the group of the
-   first token of its prefix, and larger groups are cut into blocks of ``block`` members.
-   Tokens are ordered by (hot or not, hash), so tokens of widespread passages come last.
-   The hot list is of bounded size and only speeds things up: any order is exact.
+1. Classes are partitioned into groups of similar sets: a class joins the group of its
+   smallest token hash, and larger groups are cut into blocks of ``block`` members.
+   For prefixes tokens are ordered by (hot or not, hash), so tokens of widespread passages
+   come last.  Hot is what a sketch of fixed size counts far more often than its mean; it
+   only speeds things up, since prefixes by any order are exact.
 2. The token-group matrix has an entry for each token and each group whose union of
    prefixes holds it.  If |A n B| >= t |A u B|, the prefixes of A and B, |X| - ceil(t |X|)
    + k_X tokens long, share min(k_A, k_B) tokens at least.  So joining the classes with
@@ -26,9 +27,12 @@ have a null component; an empty table gives an empty result.
 from __future__ import annotations
 
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ BITS = 1 << 24
 class Codes(dict):
     """Word -> 64-bit hash; a cache of a stated size."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -140,10 +144,16 @@ def open_group(members: list, callers: list, percent: int, inside: bool) -> list
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row (doc_id, n, d1, d2) per document: set size and 128-bit digest; and rows (token, count) of tokens that a task met twice or more."""
+    """A row (doc_id, n, d1, d2) per document: set size and 128-bit digest; and for each task its part of the token sketch (task, chunk, counts)."""
 
     def run(batches):
         shingle, seen, held, total = Shingler(width), set(), [], 0
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+
+        def count():
+            place, n = np.unique(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            sketch[place.astype(np.int64)] += n.astype(np.uint32)
+
         for batch in batches:
             ids = batch.column(0)
             for at, texts in common.slices(batch.column(1), 512):
@@ -158,37 +168,63 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     n.append(len(h))
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                empty = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), empty, empty], NAMES)
-                if total > 3_000_000:
-                    yield from repeated(held)
-                    seen, held, total = set(), [], 0
-        yield from repeated(held)
+                rows = len(n)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, rows), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], NAMES)
+                if total > 1_000_000:
+                    count()
+                    held, total = [], 0
+                    if len(seen) > 1_000_000:
+                        seen = set()
+        if held:
+            count()
+        task = TaskContext.get().partitionId()
+        for chunk, counts in enumerate(sketch.reshape(CHUNKS, -1)):
+            if counts.any():
+                one = lambda x, kind: pa.array([x], kind)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), one(task, pa.int64()), one(chunk, pa.int32()), one(zlib.compress(counts.tobytes(), 1), pa.binary())], NAMES)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, task long, chunk int, counts binary")
+
 
-    def repeated(held):
-        token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        token, count = as_long(token[count > 1]), count[count > 1]
-        for at in range(0, len(token), 100_000):
-            t, c = token[at : at + 100_000], count[at : at + 100_000]
-            empty = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(t), pa.array(c, pa.int64())], NAMES)
+NAMES = ["doc_id", "n", "d1", "d2", "task", "chunk", "counts"]
+SKETCH_BITS, CHUNKS = 23, 64
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
 
+def hot_tokens(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
+    """The sketch's counters that stand out, as a packed bit map of fixed size; sketches are added up ``fan_in`` tasks at a time."""
 
-NAMES = ["doc_id", "n", "d1", "d2", "token", "count"]
+    def add(rows: pa.Table) -> np.ndarray:
+        total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+        return np.minimum(total, 2**32 - 1).astype(np.uint32)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([zlib.compress(add(rows).tobytes(), 1)], pa.binary())})
+
+    def mark(rows: pa.Table) -> pa.Table:
+        counts = add(rows)
+        mean = float(counts.mean())
+        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([np.packbits(counts > mean + 6 * mean**0.5 + 4).tobytes()], pa.binary())})
+
+    parts = parts.select("chunk", F.expr(f"div(task, {fan_in})").alias("part"), "counts")
+    merged = parts.groupBy("chunk", "part").applyInArrow(merge, "chunk int, counts binary")
+    bits = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS // 8), np.uint8)
+    for r in merged.groupBy("chunk").applyInArrow(mark, "chunk int, counts binary").collect():  # a row a chunk
+        bits[r.chunk] = np.frombuffer(r.counts, np.uint8)
+    return bits.ravel()
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, tokens) with each document's prefix in the global order; a task leaves out copies with a larger doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
+    """(doc_id, n, head, tokens): the smallest token and the prefix in the global order of each document; a task leaves out copies with a larger doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        shingle, hot_tokens, seen = Shingler(width), shared.value, {}
+        shingle, bits, seen = Shingler(width), shared.value, {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in common.slices(batch.column(1), 512):
-                doc, size, tokens = [], [], []
+                doc, size, head, tokens = [], [], [], []
                 for i, text in zip(ids[at:], texts):
                     h = shingle(text)
                     if i is None or not len(h):
@@ -197,20 +233,18 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     if seen.get(digest, i + 1) <= i:
                         continue
                     seen[digest] = i
-                    length = len(h) - required(len(h), percent) + slack(len(h))
-                    if len(hot_tokens):
-                        place = np.searchsorted(hot_tokens, h)
-                        place[place == len(hot_tokens)] = 0
-                        is_hot = hot_tokens[place] == h
-                        h = np.concatenate([h[~is_hot], h[is_hot]])
                     doc.append(i)
                     size.append(len(h))
-                    tokens.append(as_long(h[:length]))
+                    head.append(as_long(h)[0])
+                    length = len(h) - required(len(h), percent) + slack(len(h))
+                    place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                    is_hot = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+                    tokens.append(as_long(np.concatenate([h[~is_hot][:length], h[is_hot]])[:length]))
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(head, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "head", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, head long, tokens array<long>")
 
 
 def full_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
@@ -234,40 +268,39 @@ def full_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, set binary")
 
 
-def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, hot_from: int = 48, most_hot: int = 262_144, block: int = 256, queries: int = 2_048) -> DataFrame:
+def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int = 256, queries: int = 2_048) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``; sets link if 100 |A n B| >= percent |A u B|."""
-    told = common.checkpoint(describe(docs, width))
-    hot = told.where("token is not null").groupBy("token").agg(F.sum("count").alias("df")).where(F.col("df") >= hot_from)
-    hot = np.array([r.token for r in hot.orderBy(F.desc("df"), "token").limit(most_hot).collect()], dtype=np.int64)
-    told = told.where("token is null").select("doc_id", "n", "d1", "d2")
+    told = common.stored(describe(docs, width))
+    hot = hot_tokens(told.where("chunk is not null").select("task", "chunk", "counts"))
+    told = told.where("chunk is null").select("doc_id", "n", "d1", "d2")
     classes = told.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = told.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    named = common.checkpoint(named)
+    named = common.stored(named)
 
     # groups
     reps = named.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    prefix = common.checkpoint(prefixes(docs, width, percent, hot).join(reps, "doc_id", "left_semi"))
-    headed = prefix.withColumn("head", F.col("tokens")[0])
+    prefix = common.stored(prefixes(docs, width, percent, hot))
+    headed = prefix.select("doc_id", "n", "head").join(reps, "doc_id", "left_semi")
     large = headed.groupBy("head").count().where(F.col("count") > block).select("head", F.ceil(F.col("count") / block).alias("blocks"))
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
     slack_of = (F.lit(1) + F.expr("div(n, 25)")).cast("int")
-    grouped = headed.join(large, "head", "left").select("doc_id", slack_of.alias("k"), F.xxhash64("head", part).alias("gid"), "tokens")
-    members = common.checkpoint(grouped.select("doc_id", "gid"))
+    members = common.stored(headed.join(large, "head", "left").select("doc_id", slack_of.alias("k"), F.xxhash64("head", part).alias("gid")))
 
     # matrix and bound
-    posting = grouped.select("gid", "doc_id", "k", F.explode("tokens").alias("token"))
-    several = posting.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token")
-    posting = common.checkpoint(posting.join(several, "token"))
+    posting = prefix.select("doc_id", F.explode("tokens").alias("token"))
+    several = posting.groupBy("token").count().where("count > 1").select("token")
+    posting = common.stored(posting.join(several, "token").join(members, "doc_id"))
     matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least")).withColumnRenamed("gid", "target")
-    met = posting.join(matrix, "token").where("gid <> target").groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
-    calls = common.checkpoint(met.where("met >= bound").select("doc_id", F.col("target").alias("gid")))
+    # of two groups the one with the larger number calls
+    met = posting.join(matrix, "token").where("target < gid").groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
+    calls = common.stored(met.where("met >= bound").select("doc_id", F.col("target").alias("gid")))
 
     # opened groups
     opened = calls.groupBy("gid").agg(F.ceil(F.count("*") / queries).cast("int").alias("parts"))
     sized = members.groupBy("gid").agg(F.count("*").alias("own")).join(opened, "gid", "left").where("own > 1 or parts is not null").select("gid", F.coalesce("parts", F.lit(1)).alias("parts"))
     as_member = members.join(sized, "gid").select("doc_id", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inner"))
     as_caller = calls.join(sized, "gid").select("doc_id", "gid", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.lit(False).alias("inner"))
-    roles = common.checkpoint(as_member.unionByName(as_caller))
+    roles = common.stored(as_member.unionByName(as_caller))
     sets = full_sets(docs, width, roles.select("doc_id"))
 
     def verify(rows: pa.Table) -> pa.Table:
