@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def members_of(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may occur in ``ids``: all that do, and a few others.
+def members_of(df: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``df`` whose ``columns`` may occur together in ``ids``: all that do, and a few others.
 
     A bit map of ``bits`` bits is broadcast, so at most ``bits / 32`` short rows however
     large ``ids`` is; it spares most rows the exact join that follows.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("int")
     words = ids.select(place.alias("_p")).selectExpr("cast(div(_p, 32) as int) as _w", "shiftleft(1L, _p % 32) as _b").groupBy("_w").agg(F.bit_or("_b").alias("_b"))
     marked = df.withColumn("_p", place).withColumn("_w", F.expr("cast(div(_p, 32) as int)"))
     return marked.join(F.broadcast(words), "_w").where("shiftright(_b, _p % 32) & 1 = 1").drop("_w", "_b", "_p")

@@ -9,7 +9,8 @@ lines of fewer than ``least_words`` words are left alone.
    neither with another line need no neighbourhood: a pre-filter that loses nothing.
 3. The rest emit their deletion neighbourhood as hashed keys: the line itself and, for
    each position, the line without that word.  A key is a sum over the other words'
-   hashes with their places, so two running sums give all keys of a line.
+   hashes with their places, so running sums give all keys of a line.  A line that shares
+   just one half with others leaves out words of the other half only.
 4. Equal keys meet.  Two lines that lack a word at the same position and are equal
    otherwise differ by that word; a line that equals another without a word lacks it.
    Only the earliest line of each key is looked up, never the pairs of a key.
@@ -29,36 +30,46 @@ from pyspark.sql import functions as F
 from . import common
 
 LAST = 2**63 - 1
-WORD_BREAK = r"[ \t\n\x0B\f\r]+"
+BLANKS = "\t\x0b\f\r"
 
 
-def split_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc, line_no, words) of every line long enough to count; ``doc`` orders a null doc_id last."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.split(F.trim(F.regexp_replace("line", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")), WORD_BREAK)
-    return lines.select("doc", "line_no", words.alias("words")).where(F.size("words") >= least_words)
+def split_lines(docs: DataFrame) -> DataFrame:
+    """(doc, line_no, line) of every line of ``docs(doc_id, text)``; ``doc`` orders a null doc_id last."""
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def with_words(lines: DataFrame, least_words: int) -> DataFrame:
+    """The lines long enough to count, with their words instead of the text."""
+    words = F.array_remove(F.split(F.translate("line", BLANKS, " " * len(BLANKS)), " "), "")
+    return lines.withColumn("words", words).drop("line").where(F.size("words") >= least_words)
 
 
 def half_keys() -> Column:
-    """Hashes of the first and last halves that a line can share with one a word longer, shorter or as long."""
+    """(is_last, hash) of the first and last halves that a line can share with one a word longer, shorter or as long."""
     keys = []
     for h in ("div(n, 2)", "div(n - 1, 2)"):
         h = F.expr(f"cast({h} as int)")
-        keys += [F.xxhash64(F.lit("first"), h, F.slice("words", F.lit(1), h)), F.xxhash64(F.lit("last"), h, F.slice("words", F.col("n") - h + 1, h))]
+        keys += [F.struct(F.lit(False).alias("is_last"), F.xxhash64(F.lit("first"), h, F.slice("words", F.lit(1), h)).alias("half")), F.struct(F.lit(True).alias("is_last"), F.xxhash64(F.lit("last"), h, F.slice("words", F.col("n") - h + 1, h)).alias("half"))]
     return F.array_distinct(F.array(*keys))
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """Key rows (k1, k2, pos, at, id) of ``lines(h1, h2, doc, line_no, words)``: ``pos`` is the word left out, -1 for none."""
-    word = lines.select("h1", "h2", "doc", "line_no", F.posexplode("words").alias("pos", "word"))
+    """Key rows (k1, k2, pos, doc, line_no) of ``lines(doc, line_no, words, first, last)``: ``pos`` is the word left out, -1 for none.
+
+    Where a line shares only its first half with others, only words after that are left
+    out, and the other way round.
+    """
+    word = lines.select("doc", "line_no", F.size("words").alias("n"), "first", "last", F.posexplode("words").alias("pos", "word"))
     part = lambda seed, shift: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("pos") - shift, "word"), 24)  # noqa: E731  sums of 40-bit values stay in range
-    line = W.partitionBy("h1", "h2")
-    before, after = line.orderBy("pos").rowsBetween(W.unboundedPreceding, -1), line.orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    word = word.select("h1", "h2", "doc", "line_no", "pos", *(part(s, d).alias(f"v{s}{d}") for s in (1, 2) for d in (0, 1)))
-    without = lambda s: F.coalesce(F.sum(f"v{s}0").over(before), F.lit(0)) + F.coalesce(F.sum(f"v{s}1").over(after), F.lit(0))
-    own = F.struct("doc", "line_no", "h1", "h2").alias("at")
-    shorter = word.select(without(1).alias("k1"), without(2).alias("k2"), "pos", own)
-    whole = word.groupBy("h1", "h2", "doc", "line_no").agg(F.sum("v10").alias("k1"), F.sum("v20").alias("k2")).select("k1", "k2", F.lit(-1).alias("pos"), own)
+    line = W.partitionBy("doc", "line_no")
+    before, until = line.orderBy("pos").rowsBetween(W.unboundedPreceding, -1), line.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    word = word.select("doc", "line_no", "n", "first", "last", "pos", *(part(s, d).alias(f"v{s}{d}") for s in (1, 2) for d in (0, 1)))
+    sums = [F.sum(f"v{s}0").over(before).alias(f"b{s}") for s in (1, 2)] + [F.sum(f"v{s}1").over(line).alias(f"t{s}") for s in (1, 2)] + [F.sum(f"v{s}1").over(until).alias(f"u{s}") for s in (1, 2)]
+    summed = word.select("*", *sums)
+    here = F.expr("(first and pos >= div(n - 1, 2)) or (last and pos <= n - 1 - div(n - 1, 2))")
+    without = lambda s: F.coalesce(F.col(f"b{s}"), F.lit(0)) + F.col(f"t{s}") - F.col(f"u{s}")
+    shorter = summed.where(here).select(without(1).alias("k1"), without(2).alias("k2"), "pos", "doc", "line_no")
+    whole = summed.where("pos = n - 1").select((F.coalesce("b1", F.lit(0)) + F.col("v10")).alias("k1"), (F.coalesce("b2", F.lit(0)) + F.col("v20")).alias("k2"), F.lit(-1).alias("pos"), "doc", "line_no")
     return shorter.unionByName(whole)
 
 
@@ -74,37 +85,49 @@ def within_one(a: str, b: str) -> Column:
 
 def dropped_lines(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
     """(doc, line_no) of every line of ``docs(doc_id, text)`` that goes."""
-    lines = split_lines(docs, least_words).withColumn("n", F.size("words"))
+    docs = docs.select("doc_id", "text")
+    lines = with_words(split_lines(docs), least_words).withColumn("n", F.size("words"))
     narrow = common.stored(lines.select("doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), half_keys().alias("halves")))
-    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    half = narrow.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    near = half.join(shared, "half").groupBy("h1", "h2").agg(F.lit(1).alias("_"))
-    near = common.stored(first.join(near, ["h1", "h2"]).select("h1", "h2", "first.doc", "first.line_no"))
-
-    some = common.members_of(docs.select("doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), near.select(F.col("doc").alias("doc_id")), "doc_id")
-    texts = split_lines(some, least_words).join(near, ["doc", "line_no"])
+    first = common.stored(narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.count("*").alias("n")).select("h1", "h2", "at.doc", "at.line_no", "n"))
+
+    # lines that share a half with another line
+    half = narrow.select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.is_last", "x.half")
+    shared = common.stored(half.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"))
+    sides = common.members_of(half, shared, "half").join(shared, "half").groupBy("h1", "h2").agg(F.max(~F.col("is_last")).alias("first"), F.max("is_last").alias("last"))
+    near = common.stored(common.members_of(first, sides, "h1", "h2").join(sides, ["h1", "h2"]).select("h1", "h2", "doc", "line_no", "first", "last"))
+
+    # their words, fetched by document and line
+    some = common.members_of(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), near.select(F.col("doc").alias("doc_id")), "doc_id")
+    found = with_words(common.members_of(split_lines(some), near, "doc", "line_no"), least_words)
     # rows that repeat a doc_id may differ in text: the line must be the one meant
-    texts = common.stored(texts.where((F.xxhash64("words") == F.col("h1")) & (F.xxhash64("words", F.lit(1)) == F.col("h2"))).dropDuplicates(["h1", "h2"]))
+    found = found.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64("words", F.lit(1)))
+    texts = common.stored(found.join(near, ["doc", "line_no", "h1", "h2"]).dropDuplicates(["h1", "h2"]))
+
+    # keys that meet
     keys = common.stored(neighbourhood(texts))
-    by_place = keys.groupBy("k1", "k2", "pos").agg(F.min("at").alias("least"), F.count("*").alias("n"))
-    by_place = common.stored(by_place)
+    busy = common.stored(keys.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    keys = common.stored(common.members_of(keys, busy, "k1", "k2").join(busy, ["k1", "k2"]).select("k1", "k2", "pos", F.struct("doc", "line_no").alias("at")))
+    by_place = common.stored(keys.groupBy("k1", "k2", "pos").agg(F.min("at").alias("least"), F.count("*").alias("n")))
     replaced = keys.join(by_place.where("n > 1 and pos >= 0"), ["k1", "k2", "pos"]).select("at", "least")
     by_key = by_place.groupBy("k1", "k2").agg(F.min(F.expr("case when pos < 0 then least end")).alias("whole"), F.min(F.expr("case when pos >= 0 then least end")).alias("cut")).where("whole is not null and cut is not null")
     moved = keys.join(by_key, ["k1", "k2"]).select("at", F.expr("case when pos < 0 then cut else whole end").alias("least"))
-    found = replaced.unionByName(moved).where(F.struct("least.doc", "least.line_no") < F.struct("at.doc", "at.line_no"))
-    found = found.groupBy("at.h1", "at.h2").agg(F.min("least").alias("least")).select("h1", "h2", F.col("least.h1").alias("g1"), F.col("least.h2").alias("g2"))
-    other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
-    gone = found.join(texts.select("h1", "h2", "words"), ["h1", "h2"]).join(other, ["g1", "g2"]).where(within_one("words", "other"))
-    state = first.join(gone.select("h1", "h2", F.lit(True).alias("gone")), ["h1", "h2"], "left")
-    return narrow.select("doc", "line_no", "h1", "h2").join(state, ["h1", "h2"]).where("gone or first.doc <> doc or first.line_no <> line_no").select("doc", "line_no")
+    found = replaced.unionByName(moved).where("least < at").groupBy("at").agg(F.min("least").alias("least"))
+
+    # words compared
+    mine = texts.select(F.struct("doc", "line_no").alias("at"), "h1", "h2", "words")
+    other = texts.select(F.struct("doc", "line_no").alias("least"), F.col("words").alias("other"))
+    gone = found.join(mine, "at").join(other, "least").where(within_one("words", "other")).select("h1", "h2")
+    state = first.where("n > 1").select("h1", "h2", F.lit(False).alias("gone"), "doc", "line_no").unionByName(gone.select("h1", "h2", F.lit(True).alias("gone"), F.lit(None).cast("bigint").alias("doc"), F.lit(None).cast("int").alias("line_no")))
+    state = common.stored(state.groupBy("h1", "h2").agg(F.max("gone").alias("gone"), F.max("doc").alias("first_doc"), F.max("line_no").alias("first_line")))
+    occurs = common.members_of(narrow.select("doc", "line_no", "h1", "h2"), state, "h1", "h2").join(state, ["h1", "h2"])
+    return occurs.where("gone or first_doc <> doc or first_line <> line_no").select("doc", "line_no")
 
 
 def dedup(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
     """(row, n_lines, n_dropped, text): each row of ``docs`` as a struct, its lines, how many of them go, and the text without those."""
     gone = dropped_lines(docs, least_words=least_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
-    rows = rows.join(gone, "doc", "left").withColumn("lines", F.split("row.text", "\n"))
+    rows = rows.join(gone.hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("row.text", "\n"))
     n = F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("lines")), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
     same = F.col("gone").isNull() | F.col("row.text").isNull()
