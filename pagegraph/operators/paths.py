@@ -1,7 +1,7 @@
 """Breadth-first levels and shortest routes, many at a time.
 
 A search is level-synchronous from both ends.  Each round expands the side whose frontier
-has fewer links, for all requests still open at once; the first round in which the sides
+has fewer nodes, for all requests still open at once; the first round in which the sides
 meet gives the length.  Then the nodes on shortest routes are marked from the meeting
 nodes outwards, and the route takes the smallest id at each step.  Levels are
 checkpointed, so the plan of a round holds one expansion only.
@@ -45,14 +45,18 @@ class _Side:
     """One end of a batch of searches: its levels of (query_id, node)."""
 
     def __init__(self, first: DataFrame, edges: DataFrame):
-        self.levels, self.edges = [first], edges  # edges(node, to)
+        self.levels, self.edges, self.size = [first], edges, None  # edges(node, to)
 
-    def cost(self, open_: DataFrame) -> int:
-        return self.levels[-1].join(open_, "query_id", "left_semi").join(self.edges, "node").count()
+    def cost(self) -> int:
+        """Nodes of the frontier, requests that are settled included: the level is stored, so this is only a count."""
+        if self.size is None:
+            self.size = self.levels[-1].count()
+        return self.size
 
     def expand(self, open_: DataFrame) -> None:
         seen = reduce(DataFrame.unionByName, self.levels)
         reached = self.levels[-1].join(open_, "query_id", "left_semi").join(self.edges, "node").select("query_id", F.col("to").alias("node")).distinct()
+        self.size = None
         self.levels.append(checkpoint(reached.join(seen, ["query_id", "node"], "left_anti")))
 
     def marked(self, met: DataFrame, depth: str) -> list[DataFrame]:
@@ -77,7 +81,7 @@ def search(graph: Graph, pairs: DataFrame, *, most_rounds: int = 10_000) -> tupl
     for _ in range(most_rounds):
         if open_.isEmpty():
             break
-        side = ahead if ahead.cost(open_) <= behind.cost(open_) else behind
+        side = ahead if ahead.cost() <= behind.cost() else behind
         side.expand(open_)
         meeting = ahead.levels[-1].join(behind.levels[-1], ["query_id", "node"]).join(open_, "query_id", "left_semi")
         meeting = checkpoint(meeting.select("query_id", "node", F.lit(len(ahead.levels) - 1).alias("ahead"), F.lit(len(behind.levels) - 1).alias("behind")))

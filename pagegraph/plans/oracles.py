@@ -131,7 +131,7 @@ ORACLES: dict[str, str] = {name: CHAIN + sql for name, sql in _over_chain.items(
   FROM asked a LEFT JOIN live s ON s.title = a.start LEFT JOIN live e ON e.title = a.end_title""",
     "route_lengths_batch": CHAIN
     + search(NATIONS)
-    + """SELECT n.query_id, CASE WHEN n.start_id IS NULL AND n.end_id IS NULL THEN 'missing_both' WHEN n.start_id IS NULL THEN 'missing_start' WHEN n.end_id IS NULL THEN 'missing_end' WHEN a.d IS NULL THEN 'unreachable' ELSE 'ok' END AS status, a.d AS hops
+    + """SELECT n.query_id, CASE WHEN n.start_id IS NULL AND n.end_id IS NULL THEN 'missing_both' WHEN n.start_id IS NULL THEN 'missing_start' WHEN n.end_id IS NULL THEN 'missing_end' WHEN a.d IS NULL THEN 'unreachable' ELSE 'ok' END AS status, coalesce(a.d, -1) AS hops
   FROM ends n LEFT JOIN away a ON a.query_id = n.query_id AND a.node = n.start_id""",
     "route_string": CHAIN
     + search(pairs(("AFRICA", "Part 7"), ("Loop 1", "Loop 3"), ("Customer#000000000", "NATION_4")))

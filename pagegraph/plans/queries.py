@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import functools
 import uuid
 
 import pandas as pd
@@ -21,8 +22,13 @@ QUERIES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lineage.visible(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -255,7 +261,7 @@ def _nation_requests(spark, sf_dir):
 
 @query
 def route_lengths_batch(spark, sf_dir):
-    return paths.route_batch(views(spark, sf_dir).graph, _nation_requests(spark, sf_dir)).select("query_id", "status", "hops")
+    return paths.route_batch(views(spark, sf_dir).graph, _nation_requests(spark, sf_dir)).select("query_id", "status", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 @query

@@ -34,7 +34,7 @@ def xml_dump(spark: SparkSession, path: str, *, index: str = "auto") -> DataFram
     lines = lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     start = F.locate("<page>", "value")
     pages = lines.where(start > 0).withColumn("xml", F.concat(F.col("value").substr(start, F.length("value")), F.lit("</page>")))
-    pages = pages.select("file_path", "file_block_start", "at", F.from_xml("xml", PAGE, {"mode": "FAILFAST"}).alias("page"))
+    pages = pages.select("file_path", "file_block_start", "at", F.from_xml("xml", PAGE, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}).alias("page"))
     split = ["file_path", "file_block_start"]
     sizes = pages.groupBy(*split).agg(F.count("*").alias("n"))
     sizes = sizes.select(*split, F.coalesce(F.sum("n").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a split
