@@ -6,10 +6,10 @@ underfull bins then travel as items: each round merges the bins of ``fan_in`` ta
 into one and best-fits them again, until one task is left.
 
 A bin carries its members, at most ``capacity`` of them since a piece has a token at
-least.  After best fit at most one bin of a task is half empty or more; of the others
-each task passes on the ``carry`` emptiest, which the small ones may still enter.
-Everything else is final where it stands, so no task ever holds more than
-``window`` pieces or ``fan_in * (carry + 1)`` bins, however large the input is.
+least.  A task passes on ``carry`` pieces or fewer as bins of one; if its underfull bins
+hold more, it passes on the emptiest eighth of that number as they are, and the others
+are final.  So no task ever holds more than ``window`` pieces or ``fan_in * carry`` bins,
+however large the input is.
 
 Edge cases: a null or empty text is a document of the one closing id; repeated rows
 are packed once each; an empty table gives an empty result; a null doc_id is kept.
@@ -66,10 +66,16 @@ def best_fit(items: list[tuple[int, list]], capacity: int) -> list[tuple[int, li
 
 
 def settle(bins: list[tuple[int, list]], capacity: int, full_from: int, carry: int) -> list[tuple[int, bool, list]]:
-    """Marks as done all bins but those that a later round can still use."""
+    """Marks as done the nearly full bins and those that no later round can use.
+
+    If the underfull bins hold ``carry`` pieces or fewer, each piece goes on as a bin of
+    its own, which later rounds can combine best.  Else the emptiest go on as they are.
+    """
     open_bins = [b for b in bins if b[0] < full_from]
-    small = {id(b[1]) for b in open_bins if 2 * b[0] <= capacity}
-    keep = small | {id(b[1]) for b in heapq.nsmallest(carry, open_bins, key=lambda b: b[0])}
+    if sum(len(held) for _, held in open_bins) <= carry:
+        return [(used, True, held) for used, held in bins if used >= full_from] + [(m[3], False, [m]) for _, held in open_bins for m in held]
+    keep = {id(b[1]) for b in open_bins if 2 * b[0] <= capacity}  # best fit leaves one such bin at most
+    keep |= {id(b[1]) for b in heapq.nsmallest(carry // 8, open_bins, key=lambda b: b[0])}
     return [(used, id(held) not in keep, held) for used, held in bins]
 
 
@@ -84,7 +90,7 @@ KEYS = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
 SCHEMA = pa.schema([("used", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(pa.struct([(k, pa.int64()) for k in KEYS])))])
 
 
-def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None, full_share: float = 0.995, fan_in: int = 8, carry: int = 256, window: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None, full_share: float = 0.995, fan_in: int = 8, carry: int = 2_048, window: int = 100_000) -> DataFrame:
     """Packs ``docs(doc_id, text)``; returns one row per piece with its sequence and offset.
 
     ``ids_crc32`` is the crc32 of the piece's ids, unsigned 32-bit little-endian.
@@ -105,25 +111,28 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path:
                     items = []
         yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
 
-    def merge(batches):
-        items = []
-        for batch in batches:
-            for used, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                items.append((used, [tuple(m.values()) for m in members]))
-            if len(items) >= window:
-                yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
-                items = []
-        yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
+    def merge(last: bool):
+        def run(batches):
+            items = []
+            for batch in batches:
+                for used, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    items.append((used, [tuple(m.values()) for m in members]))
+                if len(items) >= window and not last:
+                    yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
+                    items = []
+            bins = best_fit(items, capacity)
+            yield from _batch([(u, True, h) for u, h in bins] if last else settle(bins, capacity, full_from, carry), SCHEMA)
+
+        return run
 
     bins = common.checkpoint(docs.select("doc_id", "text").mapInArrow(local, BIN))
-    tasks, finished = bins.rdd.getNumPartitions(), []
-    while tasks > 1:
-        tasks = -(-tasks // fan_in)
-        finished.append(bins.where("done"))
-        bins = common.checkpoint(bins.where("not done").coalesce(tasks).mapInArrow(merge, BIN))
-    packed = bins
-    for done in finished:
-        packed = packed.unionByName(done)
+    tasks, packed = bins.rdd.getNumPartitions(), bins.where("done")
+    while True:
+        tasks = max(1, -(-tasks // fan_in))
+        bins = common.checkpoint(bins.where("not done").coalesce(tasks).mapInArrow(merge(tasks == 1), BIN))
+        packed = packed.unionByName(bins.where("done"))
+        if tasks == 1:
+            break
     return packed.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
 
 

@@ -10,7 +10,7 @@ Edge cases: vectors that are null or hold a null or non-finite component take no
 nor do rows without a vec_id; a shorter vector lacks its further terms, which weigh 0;
 an empty vector scores 0 with everything; of several rows with one vec_id the one whose
 weights come first counts, once; equal scores go to smaller vec_ids; scores beyond 64
-bits are held at the limits; an empty table gives an empty result.
+bits are held at the limits, and ranked so; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,12 +66,14 @@ def best(q_ids, q_vectors, c_ids, c_vectors, k: int, step: int = 32):
                 score[np.ix_(rows, at)] += part[rows, t, None] * weight
         own = np.searchsorted(c_ids, q_ids[start : start + step])
         for i, query in enumerate(q_ids[start : start + step]):
+            if kind is object:
+                score[i] = [max(-(2**63), min(2**63 - 1, x)) for x in score[i]]
             key = score[i].astype(object if kind is object else np.int64) * n + place  # distinct, in the order wanted
             is_own = own[i] < n and c_ids[own[i]] == query
             found = np.argpartition(key, n - k - 1)[n - k - 1 :] if n > k + 1 else np.arange(n)
             found = sorted((j for j in found if not (is_own and j == own[i])), key=lambda j: -key[j])[:k]
             for j in found:
-                yield int(query), int(c_ids[j]), max(-(2**63), min(2**63 - 1, int(score[i, j])))
+                yield int(query), int(c_ids[j]), int(score[i, j])
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, query_block: int = 16_384, candidate_block: int = 4_096) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+MISSPELLED = 0.8  # of the weight of a term as spelled
 WORD = re.compile(r"[^\W_]+")
 # Context cues.
 REPORTING = frozenset("said says saying wrote writes quoted quote quoting called reported dit écrit sagte schrieb dijo escribió".split())
@@ -73,7 +74,7 @@ class Lexicon:
             self.known[key] = len(self.moves)
             self.sets.append(key)
             ends = [(self.kind[n], spent) for n, spent in key if self.kind[n]]
-            good = [(stem, 0.5 if spent else 1.0) for (stem, edit, _), spent in ends if edit or not spent]
+            good = [(stem, MISSPELLED if spent else 1.0) for (stem, edit, _), spent in ends if edit or not spent]
             self.moves.append({})
             self.value.append((max((v for stem, v in good if stem and v == 1.0), default=0.0), max((v for _, v in good), default=0.0)))
         return self.known[key]
@@ -101,7 +102,7 @@ class Lexicon:
         return [self.kind[n][2] for n, _ in self.sets[state] if self.kind[n]]
 
     def match(self, word: str) -> float:
-        """1 for a term or a word that begins with a stem, 1/2 for a term with one edit, else 0."""
+        """1 for a term or a word that begins with a stem, less for a term with one edit, else 0."""
         state, found = self.start, 0.0
         for c in word:
             to = self.moves[state].get(c)
@@ -127,13 +128,13 @@ class Hits(dict):
         return value
 
 
-def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, float, float]:
-    """Weights of the terms as spelled, of misspelled terms, and of terms in quotation."""
+def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, float]:
+    """Weights of the terms in plain speech, a misspelled one less, and of terms in quotation."""
     words = (text or "").lower().split()
     values = [*map(hits.__getitem__, words)]
     if not any(values):
-        return 0.0, 0.0, 0.0
-    plain = misspelled = quoted = 0.0
+        return 0.0, 0.0
+    plain = quoted = 0.0
     opened, last = 0, 0
     marks = [len(QUOTES.findall(w)) for w in words] if QUOTES.search(text) else None
     for i, v in enumerate(values):
@@ -149,18 +150,16 @@ def evidence(text: str | None, hits: Hits, window: int = 6) -> tuple[float, floa
             inside = opened % 2 == 1 or words[i][:1] in "\"“«„"
         if inside or bare & REPORTING:
             quoted += weight
-        elif v < 1:
-            misspelled += weight
         else:
             plain += weight
-    return plain, misspelled, quoted
+    return plain, quoted
 
 
 def features(weights: tuple[float, ...]) -> list[float]:
     return [1.0, *map(math.log1p, weights)]
 
 
-def learn_terms(rows: list[tuple[str, int]], *, chance: float = 0.05, most_clean: float = 0.02, stem_from: int = 4, family: int = 4, fuzzy_from: int = 5, most_terms: int = 5_000) -> dict[str, tuple[bool, bool]]:
+def learn_terms(rows: list[tuple[str, int]], *, chance: float = 1.0, most_clean: float = 0.02, stem_from: int = 4, family: int = 4, fuzzy_from: int = 5, most_terms: int = 5_000) -> dict[str, tuple[bool, bool]]:
     """Lexicon terms (term -> (is it a stem, may it be misspelled)) from (text, toxic) rows.
 
     A term needs so many toxic rows and contexts that fewer than ``chance`` words of the
@@ -213,7 +212,7 @@ def learn_terms(rows: list[tuple[str, int]], *, chance: float = 0.05, most_clean
     return {t: (stem, not stem and len(t) >= fuzzy_from and pure(toxic_rows[t], beside[t])) for t, stem in terms.items()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.002, rounds: int = 60) -> np.ndarray:
     """Logistic regression by Newton steps, the constant unpenalised."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -254,14 +253,14 @@ def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1_500, most_c
         sample = part if sample is None else sample.unionByName(part)
     chosen = {r.doc_id: r._toxic for r in sample.collect()}
     if not chosen:
-        return Model({}, [-5.0, 0.0, 0.0, 0.0])
+        return Model({}, [-5.0, 0.0, 0.0])
     small = F.broadcast(docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, _toxic int"))  # at most most_toxic + most_clean rows
     rows = sorted((r.doc_id, r.text or "", r._toxic) for r in docs.select("doc_id", "text").join(small, "doc_id").collect())
     rows = [(t, y) for _, t, y in rows]
     terms = learn_terms(rows)
     hits = Hits(Lexicon(terms))
-    x = np.array([features(evidence(t, hits)) for t, _ in rows]) if rows else np.zeros((0, 4))
-    return Model(terms, fit(x, np.array([y for _, y in rows], dtype=float)).tolist() if len(rows) else [-5.0, 0.0, 0.0, 0.0])
+    x = np.array([features(evidence(t, hits)) for t, _ in rows]) if rows else np.zeros((0, 3))
+    return Model(terms, fit(x, np.array([y for _, y in rows], dtype=float)).tolist() if len(rows) else [-5.0, 0.0, 0.0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
