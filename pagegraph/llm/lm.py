@@ -9,8 +9,13 @@ from the rest and the word's end, so the lattice is a distribution over words.
 
 On top, a lattice arc for each word known from training carries its discounted share of
 the training tokens, and the mass set free by the discount goes to the subword lattice:
-P(w) = max(c - D, 0) / N + (D V / N) lattice(w).  Both sum to 1 over all words.  A
-document's probability is the product over its words and its end.
+P(w) = max(c - D, 0) / N + (D V / N) lattice(w).  Each of the most frequent values of
+``class_column`` among training documents has counts and a lattice of its own:
+P_k(w) = max(c_k - D, 0) / N_k + (D V_k / N_k) (0.9 lattice_k(w) + 0.1 G(w)), where G is
+the discounted share over all classes, brought to 1.  All these sum to 1 over all words.
+A document's class isn't read when it is scored: the likeliest by the frequent words is
+taken and paid for with its prior, so a score is the prior times the product over the
+words and the end, which is less than the mixture's probability of the text.
 
 Counts and statistics come from all training documents.  Words outside the most frequent
 ``most_frequent`` are scored by a join with the word table, so what is broadcast is
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -76,9 +82,7 @@ class Lattice:
 
     def __init__(self, path: str, share: np.ndarray | None = None, end: float = 0.1):
         self.pieces, self.begins, first = vocabulary(path)
-        self.prior = first
-        self.logp = np.log(np.maximum(first if share is None else share, 1e-300))
-        self.end = math.log(end)
+        self.weigh(first if share is None else share, end)
         self.longest = max(map(len, self.pieces))
         self.powers = np.cumprod(np.array([1, *[int(BASE)] * self.longest], np.uint64))
         self.table = dict(zip(self.pieces, range(len(self.pieces))))
@@ -95,6 +99,16 @@ class Lattice:
         self.keys = np.concatenate([keys, [np.uint64(0)]])
         self.rest = rest[np.argsort(keys[rest])]
 
+    def weigh(self, share: np.ndarray, end: float) -> None:
+        """Takes other weights for the same pieces."""
+        self.logp, self.end = np.log(np.maximum(share, 1e-300)), math.log(end)
+
+    def reweighed(self, share: np.ndarray, end: float) -> Lattice:
+        """A lattice of the same tables with other weights."""
+        other = copy(self)
+        other.weigh(share, end)
+        return other
+
     def key(self, codes) -> int:
         h = 0
         for c in codes:
@@ -121,7 +135,6 @@ class Lattice:
             out[miss[good]] = self.rest[at[good]]
         return out
 
-    @lru_cache(maxsize=65_536)
     def spelled(self, code: int) -> float:
         return self.BYTE * len(chr(code).encode("utf-8", "surrogatepass"))
 
@@ -219,158 +232,195 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame, held_out_fold: int) -> DataFrame:
-    """(word, c, n): how often training documents, and all documents, have each word."""
+def word_counts(docs: DataFrame, held_out_fold: int, classes: list) -> DataFrame:
+    """(word, c, n, c0, c1, ...): how often training documents, all documents, and the training documents of each class have each word.
+
+    ``docs`` is (doc_id, text, class).
+    """
+    number = {value: k for k, value in enumerate(classes)}
 
     def run(batches):
-        seen, total = Counter(), Counter()
+        seen: dict[int | None, Counter] = {}
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, groups = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at, texts in common.slices(batch.column(1), 512):
-                for i, text in zip(ids[at:], texts):
-                    (total if common.fold(i) == held_out_fold else seen).update(words_of(text))
-            if len(seen) + len(total) > 300_000:
-                yield from emit(seen, 1)
-                yield from emit(total, 0)
+                for i, group, text in zip(ids[at:], groups[at:], texts):
+                    kind = None if common.fold(i) == held_out_fold else number.get(group, -1)
+                    seen.setdefault(kind, Counter()).update(words_of(text))
+            if sum(map(len, seen.values())) > 300_000:
+                yield from emit(seen)
                 seen.clear()
-                total.clear()
-        yield from emit(seen, 1)
-        yield from emit(total, 0)
+        yield from emit(seen)
 
-    def emit(counter, training):
-        items = list(counter.items())
-        for at in range(0, len(items), 50_000):
-            words, n = zip(*items[at : at + 50_000])
-            n = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), n if training else pa.array([0] * len(n), pa.int64()), n], ["word", "c", "n"])
+    def emit(seen):
+        for kind, counter in seen.items():
+            items = list(counter.items())
+            for at in range(0, len(items), 50_000):
+                words, n = zip(*items[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([kind] * len(n), pa.int32()), pa.array(n, pa.int64())], ["word", "kind", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "word string, kind int, n long").groupBy("word")
+    of = lambda test: F.coalesce(F.sum(F.expr(f"case when {test} then n end")), F.lit(0))
+    return counted.agg(of("kind is not null").alias("c"), F.sum("n").alias("n"), *(of(f"kind = {k}").alias(f"c{k}") for k in range(len(classes))))
 
 
 class Model:
-    """Weights of the pieces and the constants; ``share`` holds a float for each piece."""
+    """The constants of all classes, the last being for documents of any class: tokens, distinct tokens, documents, prior, weights of the pieces and of the word's end."""
 
-    def __init__(self, path: str, total: int, distinct: int, documents: int, discount: float, share: np.ndarray, end: float):
-        self.path, self.total, self.distinct, self.documents, self.discount, self.share, self.end = path, total, distinct, documents, discount, share, end
+    def __init__(self, path: str, discount: float, classes: list[tuple]):
+        self.path, self.discount, self.classes = path, discount, classes
+        self.total, self.distinct, self.documents = classes[-1][:3]
 
-    def lattice(self) -> Lattice:
-        return Lattice(self.path, self.share, self.end)
+    def lattices(self) -> list[Lattice]:
+        first = Lattice(self.path)
+        return [first.reweighed(share, end) for *_, share, end in self.classes]
 
     def base(self, c):
         """log10 of the additive estimate."""
         return np.log10((np.asarray(c) + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def mixed(self, c, lattice):
-        """log10 P of tokens seen ``c`` times whose lattice sums to exp(``lattice``)."""
-        c, lattice = np.asarray(c, dtype=float), np.asarray(lattice, dtype=float)
-        if not self.total:
+    def log10(self, k: int, own, c, lattice):
+        """log10 P_k of tokens seen ``own`` times in class ``k`` and ``c`` times in all, whose lattice sums to exp(``lattice``)."""
+        own, c, lattice = (np.asarray(x, dtype=float) for x in (own, c, lattice))
+        tokens, distinct = self.classes[k][:2]
+        if not tokens:
             return lattice / math.log(10) + math.log10(0.5)
-        freed = lattice + math.log(self.discount * self.distinct / self.total)
-        known = np.log(np.maximum(c - self.discount, 1e-300) / self.total)
-        return np.logaddexp(np.where(c > self.discount, known, NEVER), freed) / math.log(10)
-
-    def closing(self) -> tuple[float, float]:
-        """(base, mixed) log10 of the end of a document; the lattice has no end."""
-        return float(self.base(self.documents)), math.log10((self.documents - self.discount) / self.total) if self.total else math.log10(0.5)
-
-
-def learn(counts: DataFrame, documents: int, path: str, rounds: int = 2, prior: float = 0.02) -> Model:
-    """The model of the word table ``counts(word, c, n)`` and of so many training documents."""
-    said = counts.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    total, distinct = said.n + documents, said.v + bool(documents)
-    discount = min(0.95, max(0.1, said.n1 / (said.n1 + 2 * said.n2))) if said.n1 else 0.5
-    model = Model(path, total, distinct, documents, discount, None, 0.1)
+        log = lambda x: np.log(np.maximum(x, 1e-300))
+        kept = np.where(own > self.discount, log((own - self.discount) / tokens), NEVER)
+        if k < len(self.classes) - 1:
+            known = np.where(c > self.discount, log((c - self.discount) / (self.total - self.discount * self.distinct)), NEVER)
+            lattice = np.logaddexp(lattice + math.log(0.9), known + math.log(0.1))
+        return np.logaddexp(kept, lattice + math.log(self.discount * distinct / tokens)) / math.log(10)
+
+    def closing(self) -> np.ndarray:
+        """Of the end of a document: whether it is known, base, and for each class log10 of prior and probability; the lattice has no end."""
+        own = [math.log10(prior) + (float(self.log10(k, n, self.documents, NEVER)) if self.total else math.log10(0.5)) for k, (_, _, n, prior, *_) in enumerate(self.classes)]
+        return np.array([float(self.documents > 0), float(self.base(self.documents)), *own])
+
+
+def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, rounds: int = 3, prior: float = 0.01) -> Model:
+    """The model of the word table ``counts`` and of so many training documents, in all and in each class."""
+    k_all = len(in_classes)
+    names = [*(f"c{k}" for k in range(k_all)), "c"]
+    sums = [x for k, name in enumerate(names) for x in (F.coalesce(F.sum(name), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(name) > 0).alias(f"v{k}"))]
+    said = counts.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), *sums).first()
+    discount = min(0.95, max(0.1, said.once / (said.once + 2 * said.twice))) if said.once else 0.5
     pieces, begins, first = vocabulary(path)
-    for _ in range(rounds if said.v else 0):
-        share, end = model.share, model.end
+    shares, ends = [first] * (k_all + 1), [0.1] * (k_all + 1)
+    for _ in range(rounds if said[f"v{k_all}"] else 0):
 
-        def run(batches):
-            lattice, total = Lattice(path, share, end), None
+        def run(batches, shares=shares, ends=ends):
+            lattice, total = Lattice(path), np.zeros((k_all or 1, len(pieces)))
             for table in gathered(batches):
-                more = lattice.expected(table.column(0).to_pylist())
-                total = more if total is None else total + more
-            if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "uses"])
-
-        uses = np.zeros(len(pieces))
-        for r in counts.where("c > 0").select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece at most
-            uses[r.piece] = r.uses
-        later = uses[~begins].sum()
-        model.end = 0.95 * said.v / (said.v + later)
-        share = np.empty(len(pieces))
-        for mine, mass in ((begins, 1.0), (~begins, 0.95 - model.end)):
-            old = first[mine] / first[mine].sum()
-            new = uses[mine] + prior * max(1.0, uses[mine].sum()) * old
-            share[mine] = mass * new / new.sum()
-        model.share = share
-    return model
-
-
-def score(docs: DataFrame, *, vocab_path: str | None = None, held_out_fold: int = 1, most_frequent: int = 200_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``."""
+                words = np.array(table.column("word").to_pylist(), dtype=object)
+                for k in range(k_all or 1):
+                    own = words[table.column(names[k]).to_numpy() > 0]
+                    if len(own):
+                        total[k] += lattice.reweighed(shares[k], ends[k]).expected(own.tolist())
+            kinds, places = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(total[kinds, places])], ["kind", "piece", "uses"])
+
+        uses = np.zeros((k_all + 1, len(pieces)))
+        for r in counts.where("c > 0").mapInArrow(run, "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece and class at most
+            uses[r.kind, r.piece] = r.uses
+        if k_all:
+            uses[k_all] = uses[:k_all].sum(axis=0)
+        shares, ends = [], []
+        for k in range(k_all + 1):
+            words = sum(said[f"v{i}"] for i in range(k_all)) if k == k_all and k_all else said[f"v{k}"]
+            end = 0.95 * max(1, words) / max(2, words + uses[k][~begins].sum())
+            share = np.empty(len(pieces))
+            for mine, mass in ((begins, 1.0), (~begins, 0.95 - end)):
+                new = uses[k][mine] + prior * max(1.0, uses[k][mine].sum()) * first[mine] / first[mine].sum()
+                share[mine] = mass * new / new.sum()
+            shares.append(share)
+            ends.append(end)
+    # a tenth of the prior is for documents of any class
+    classes = [(said[f"n{k}"] + d, said[f"v{k}"] + 1, d, 0.9 * d / documents, shares[k], ends[k]) for k, d in enumerate(in_classes)]
+    classes.append((said[f"n{k_all}"] + documents, said[f"v{k_all}"] + bool(documents), documents, 1 - sum(c[3] for c in classes), shares[k_all], ends[k_all]))
+    return Model(path, discount, classes)
+
+
+def score(docs: DataFrame, *, vocab_path: str | None = None, held_out_fold: int = 1, most_frequent: int = 200_000, class_column: str | None = "lang", most_classes: int = 8) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``; classes are learned if ``docs`` has ``class_column``."""
     path = vocab_path or default_path()
-    documents = docs.where(common.fold_column() != held_out_fold).count()
-    counts = common.stored(word_counts(docs, held_out_fold))
-    model = learn(counts, documents, path)
+    group = F.col(class_column).cast("string") if class_column in docs.columns else F.lit(None).cast("string")
+    docs = docs.select("doc_id", "text", group.alias("class"))
+    training = docs.where(common.fold_column() != held_out_fold)
+    documents = training.count()
+    top_classes = training.groupBy("class").count().orderBy(F.desc("count"), "class").limit(most_classes).collect()
+    counts = common.stored(word_counts(docs, held_out_fold, [r["class"] for r in top_classes]))
+    model = learn(counts, documents, [r["count"] for r in top_classes], path)
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    top = [(r.word, r.c) for r in counts.orderBy(F.desc("n"), "word").limit(most_frequent).collect()]
-    if top:
-        words, c = zip(*top)
-        frequent = dict(zip((w.encode("utf-8") for w in words), zip((np.array(c) > 0).astype(int).tolist(), model.base(c).tolist(), model.mixed(c, model.lattice().log_probabilities(list(words))).tolist())))
-    else:
-        frequent = {}
-    shared, closing = sc.broadcast(frequent), model.closing()
-    known_end = int(documents > 0)
+    columns = [*(f"c{k}" for k in range(len(top_classes))), "c"]
+    top = counts.orderBy(F.desc("n"), "word").limit(most_frequent).drop("n").toArrow()
+    words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
+    table = np.column_stack([(c > 0).astype(float), model.base(c), *(model.log10(k, top.column(x).to_numpy(), c, lattice.log_probabilities(words)) for k, (x, lattice) in enumerate(zip(columns, model.lattices())))])
+    shared, ends = sc.broadcast(({w.encode("utf-8"): i for i, w in enumerate(words)}, table)), model.closing()
 
     def per_document(batches):
-        frequent, row = shared.value, TaskContext.get().partitionId() << 33
+        (frequent, table), row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in common.slices(batch.column(1), 256):
                 docs_out, rest = [], []
                 for i, text in zip(ids[at:], texts):
                     words = words_of(text)
-                    known, base, mixed = known_end, closing[0], closing[1]
+                    places, times, others = [], [], []
                     for word, n in Counter(words).items():
-                        entry = frequent.get(word)
-                        if entry is None:
-                            rest.append((row, word, n))
+                        place = frequent.get(word)
+                        if place is None:
+                            others.append((word, n))
                         else:
-                            known += n * entry[0]
-                            base += n * entry[1]
-                            mixed += n * entry[2]
-                    docs_out.append((row, i, common.fold(i) == held_out_fold, len(words) + 1, known, base, mixed))
+                            places.append(place)
+                            times.append(n)
+                    sums = ends + np.array(times, dtype=float) @ table[places] if places else ends
+                    kind = int(sums[2:].argmax())
+                    rest += [(row, kind, word, n) for word, n in others]
+                    docs_out.append((row, i, common.fold(i) == held_out_fold, len(words) + 1, round(sums[0]), sums[1], sums[2 + kind]))
                     row += 1
                 yield rows(docs_out, rest)
 
     def rows(docs_out, rest):
         r, i, h, t, k, b, m = zip(*docs_out)
-        rr, w, n = zip(*rest) if rest else ((), (), ())
+        rr, kinds, w, n = zip(*rest) if rest else ((), (), (), ())
         none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(rr), kind)])
+        some = lambda values, kind: pa.concat_arrays([pa.nulls(len(r), kind), pa.array(values, kind)])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(r + rr, pa.int64()), none(i, pa.int64()), none(h, pa.bool_()), none(t, pa.int64()), none(k, pa.int64()), none(b, pa.float64()), none(m, pa.float64()),
-                pa.concat_arrays([pa.nulls(len(r), pa.string()), pa.array(w, pa.binary()).cast(pa.string())]), pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(n, pa.int64())]),
+                some(kinds, pa.int32()), pa.concat_arrays([pa.nulls(len(r), pa.string()), pa.array(w, pa.binary()).cast(pa.string())]), some(n, pa.int64()),
             ],
-            ["row", "doc_id", "held_out", "n_tokens", "known", "base", "mixed", "word", "n"],
+            ["row", "doc_id", "held_out", "n_tokens", "known", "base", "mixed", "kind", "word", "n"],
         )
 
-    parts = common.stored(docs.select("doc_id", "text").mapInArrow(per_document, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, mixed double, word string, n long"))
+    parts = common.stored(docs.select("doc_id", "text").mapInArrow(per_document, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, mixed double, kind int, word string, n long"))
 
     def weigh(batches):
-        lattice = model.lattice()
+        """Rare words where they stand: (row, word, times, kind, own, c), sorted by word, to a sum for each row and batch."""
+        lattices = model.lattices()
         for table in gathered(batches):
-            c = table.column(1).to_numpy()
-            mixed = model.mixed(c, lattice.log_probabilities(table.column(0).to_pylist()))
-            yield from pa.table([table.column(0), pa.array((c > 0).astype(np.int64)), pa.array(model.base(c)), pa.array(mixed)], names=["word", "known", "base", "mixed"]).to_batches(50_000)
-
-    common_words = F.broadcast(spark.createDataFrame([(w,) for w, _ in top], "word string")) if top else None  # at most most_frequent words
-    rare = counts.select("word", "c") if common_words is None else counts.select("word", "c").join(common_words, "word", "left_anti")
-    weights = rare.mapInArrow(weigh, "word string, known long, base double, mixed double")
-    sums = parts.where("word is not null").select("row", "word", "n").join(weights, "word").groupBy("row").agg(*(F.sum(F.col(x) * F.col("n")).alias(f"rare_{x}") for x in ("known", "base", "mixed")))
+            word, kind = table.column("word").combine_chunks().dictionary_encode(), table.column("kind").to_numpy()
+            pair, first, back = np.unique(word.indices.to_numpy() * len(lattices) + kind, return_index=True, return_inverse=True)
+            names, own, c = word.dictionary.to_pylist(), table.column("own").to_numpy()[first], table.column("c").to_numpy()
+            mixed = np.empty(len(pair))
+            for k, lattice in enumerate(lattices):
+                at = np.flatnonzero(pair % len(lattices) == k)
+                if len(at):
+                    mixed[at] = model.log10(k, own[at], c[first][at], lattice.log_probabilities([names[i] for i in pair[at] // len(lattices)]))
+            times = table.column("times").to_numpy()
+            rows, place = np.unique(table.column("row").to_numpy(), return_inverse=True)
+            total = [np.bincount(place, x * times, len(rows)) for x in ((c > 0).astype(float), model.base(c), mixed[back])]
+            yield from pa.table([pa.array(rows), *map(pa.array, total)], names=["row", "known", "base", "mixed"]).to_batches(50_000)
+
+    rare = counts.drop("n")
+    if words:
+        rare = rare.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "word string")), "word", "left_anti")  # at most most_frequent words
+    met = parts.where("word is not null").select("row", "kind", "word", F.col("n").alias("times")).join(rare, "word")
+    met = met.select("row", "word", "times", "kind", F.get(F.array(*columns), F.col("kind")).alias("own"), "c")
+    sums = met.mapInArrow(weigh, "row long, known double, base double, mixed double").groupBy("row").agg(*(F.sum(x).alias(f"rare_{x}") for x in ("known", "base", "mixed")))
     out = parts.where("word is null").join(sums, "row", "left")
-    plus = lambda x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0))
+    plus = lambda x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("mixed").alias("score"))
 
 

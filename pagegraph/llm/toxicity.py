@@ -243,7 +243,7 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1_500, most_clean: int = 6_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1_000, most_clean: int = 3_000) -> Model:
     """Learns from at most ``most_toxic`` and ``most_clean`` labelled rows of the training folds, taken in the order of a hash of doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.fold_column() != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).select("doc_id", "_toxic", F.xxhash64("doc_id").alias("_order"))

@@ -72,8 +72,9 @@ def check(rows, frame):
 
 def test_scores(spark, sf_dir, nasty, nothing, docs):
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    few = check(lm.score(nasty, most_frequent=3).select(*columns).collect(), nasty)
-    many = check(lm.score(nasty, most_frequent=1000).select(*columns).collect(), nasty)
+    few = check(lm.score(nasty, most_frequent=3, class_column=None).select(*columns).collect(), nasty)
+    many = check(lm.score(nasty, most_frequent=1000, class_column=None).select(*columns).collect(), nasty)
+    check(lm.score(nasty, most_frequent=20).select(*columns).collect(), nasty)
     assert [g[6] for g in few] == pytest.approx([g[6] for g in many])  # where a word is scored doesn't matter
     assert lm.score(nothing).count() == 0
     check(lm.op9_subword_lattice(spark, sf_dir).select(*columns).collect(), docs)
@@ -87,7 +88,10 @@ def test_no_training_documents(spark):
 
 
 def test_the_model_is_a_distribution():
-    # four words seen 950 times, and 50 documents' ends: what the discount frees is the lattice's share
-    model = lm.Model("", 1000, 5, 50, 0.6, None, 0.1)
-    known = 10 ** model.mixed(np.array([400, 300, 200, 50]), np.full(4, -np.inf))
-    assert known.sum() + 10 ** model.closing()[1] + 0.6 * 5 / 1000 == pytest.approx(1)
+    # five words, one of them in class 0 only, and documents' ends; what the discount frees is the lattice's share
+    tokens, seen, in_class = 1000, np.array([400, 300, 150, 90, 10]), np.array([0, 280, 0, 0, 10])
+    model = lm.Model("", 0.6, [(300, 3, 10, 0.5, None, 0.1), (tokens, 6, 50, 0.5, None, 0.1)])
+    for k, own, freed in ((0, in_class, 0.9 * 0.6 * 3 / 300), (1, seen, 0.6 * 6 / tokens)):
+        words = 10 ** model.log10(k, own, seen, np.full(5, -np.inf))
+        end = 10 ** (model.closing()[2 + k] - math.log10(0.5))
+        assert words.sum() + end + freed == pytest.approx(1)
