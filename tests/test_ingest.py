@@ -88,3 +88,16 @@ def test_dense_index_is_dense(spark):
     keys = random.Random(1).sample(range(-500_000, 500_000), 300)
     got = {r.k: r.i for r in dense_index(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "i", bucket_size=1000).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_streamed_rows_parse_alike(spark, tmp_path):
+    from pagegraph.streaming import parsed_pages
+
+    rows = [(0, 0, "Alpha", "[[beta]] [[File:x]]"), (1, 1, "Talk:Alpha", "[[Beta]]"), (2, 0, "Gamma", "#REDIRECT [[Alpha]]")]
+    dump = spark.createDataFrame(rows, DUMP)
+    dump.write.parquet(str(tmp_path / "in"))
+    stream = parsed_pages(spark.readStream.schema(dump.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("parsed").select("id", "target", "link_titles").collect())) == [(0, None, ["Beta"]), (2, "Alpha", [])]
