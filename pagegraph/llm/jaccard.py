@@ -274,7 +274,7 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     hot = hot_tokens(told.where("chunk is not null").select("task", "chunk", "counts"))
     told = told.where("chunk is null").select("doc_id", "n", "d1", "d2")
     classes = told.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = told.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    named = told.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     named = common.stored(named)
 
     # groups
