@@ -284,12 +284,16 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     large = headed.groupBy("head").count().where(F.col("count") > block).select("head", F.ceil(F.col("count") / block).alias("blocks"))
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
     slack_of = (F.lit(1) + F.expr("div(n, 25)")).cast("int")
-    members = common.stored(headed.join(large, "head", "left").select("doc_id", slack_of.alias("k"), F.xxhash64("head", part).alias("gid")))
+    members = headed.join(large, "head", "left").select("doc_id", "n", slack_of.alias("k"), F.xxhash64("head", part).alias("gid"))
 
-    # matrix and bound
+    # matrix and bound; a class that shares too few tokens with all others together has no links
     posting = prefix.select("doc_id", F.explode("tokens").alias("token"))
     several = posting.groupBy("token").count().where("count > 1").select("token")
-    posting = common.stored(posting.join(several, "token").join(members, "doc_id"))
+    posting = common.stored(posting.join(several, "token"))
+    shared = posting.groupBy("doc_id").agg(F.count("*").alias("shared"))
+    enough = F.expr(f"shared >= 1 + div(div(n * {percent} + 99, 100), 25)")
+    members = common.stored(members.join(shared, "doc_id").where(enough).select("doc_id", "k", "gid"))
+    posting = common.stored(posting.join(members, "doc_id"))
     matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least")).withColumnRenamed("gid", "target")
     # of two groups the one with the larger number calls
     met = posting.join(matrix, "token").where("target < gid").groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
