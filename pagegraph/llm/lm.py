@@ -146,8 +146,9 @@ class Lattice:
             prefix[i + 1] = prefix[i] * BASE + codes[:, i] + np.uint64(1)
         out = []
         for i in range(length):
-            for size in range(1, min(self.longest, length - i) + 1):
-                found = self.find(prefix[i + size] - prefix[i] * self.powers[size])
+            most = min(self.longest, length - i)
+            keys = prefix[i + 1 : i + 1 + most] - prefix[i] * self.powers[1 : most + 1, None]
+            for size, found in enumerate(self.find(keys.ravel()).reshape(most, n), 1):
                 rows = np.flatnonzero(found >= 0)
                 if len(rows):
                     out.append((i, size, rows, found[rows], self.logp[found[rows]]))
