@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles, hashed to 64 bits.  Documen
 one and the same set form a class and are represented by their smallest doc_id.
 
 1. Classes are partitioned into groups of similar sets: a class joins the group of its
-   smallest token hash, and larger groups are cut into blocks of ``block`` members.
+   smallest token hash (among hot tokens, if they are half of its set), and larger groups are cut into blocks of ``block`` members.
    For prefixes tokens are ordered by (hot or not, hash), so tokens of widespread passages
    come last.  Hot is what a sketch of fixed size counts far more often than its mean; it
    only speeds things up, since prefixes by any order are exact.
@@ -235,10 +235,11 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     seen[digest] = i
                     doc.append(i)
                     size.append(len(h))
-                    head.append(as_long(h)[0])
                     length = len(h) - required(len(h), percent) + slack(len(h))
                     place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     is_hot = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+                    # what copies of a widespread text add of their own is never hot, so their head is a token that they share
+                    head.append(as_long(h[is_hot] if 2 * is_hot.sum() >= len(h) else h)[0])
                     tokens.append(as_long(np.concatenate([h[~is_hot][:length], h[is_hot]])[:length]))
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
@@ -293,7 +294,7 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     shared = posting.groupBy("doc_id").agg(F.count("*").alias("shared"))
     enough = F.expr(f"shared >= 1 + div(div(n * {percent} + 99, 100), 25)")
     members = common.stored(members.join(shared, "doc_id").where(enough).select("doc_id", "k", "gid"))
-    posting = common.stored(posting.join(members, "doc_id"))
+    posting = common.stored(common.members_of(posting, members, "doc_id").join(members, "doc_id"))
     matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least")).withColumnRenamed("gid", "target")
     # of two groups the one with the larger number calls
     met = posting.join(matrix, "token").where("target < gid").groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
