@@ -1,35 +1,40 @@
 """Best-fit packing by hierarchical residual packing.
 
 Documents become pieces of at most ``capacity`` tokens.  Every task best-fits its own
-pieces into bins, largest first, and emits the nearly full ones for good.  The
-underfull bins then travel as items: each round merges the bins of ``fan_in`` tasks
-into one and best-fits them again, until one task is left.
-
-A bin carries its members, at most ``capacity`` of them since a piece has a token at
-least.  A task passes on ``carry`` pieces or fewer as bins of one; if its underfull bins
-hold more, it passes on the emptiest eighth of that number as they are, and the others
-are final.  So no task ever holds more than ``window`` pieces or ``fan_in * carry`` bins,
+pieces into bins, largest first, and emits the nearly full ones for good.  The pieces of
+the underfull bins travel on: each round merges those of ``fan_in`` tasks and best-fits
+them again.  A task that would pass on more than ``carry`` pieces keeps them for the last
+round instead, so no task ever holds more than ``window`` pieces or ``fan_in * carry``,
 however large the input is.
 
+The last round takes all pieces that lie in no nearly full bin, whichever task they come
+from.  It best-fits their histogram, ``capacity`` counts at most: a step of ``place`` puts
+all pieces of a run of ranks within their length into a run of bins.  A piece finds its bin
+and offset by its rank, so no task holds the pieces and no underfull bin is final before.
+
 Edge cases: a null or empty text is a document of the one closing id; repeated rows
 are packed once each; an empty table gives an empty result; a null doc_id is kept.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from collections import defaultdict
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .bpe import UnitEncoder
 
 MEMBER = "struct<doc_id:bigint,piece:bigint,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
-BIN = f"used long, done boolean, members array<{MEMBER}>"
+BIN = f"used long, state int, at long, members array<{MEMBER}>"
+OPEN, FULL, LATE = range(3)  # for the next round, for good, for the last round
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -65,29 +70,70 @@ def best_fit(items: list[tuple[int, list]], capacity: int) -> list[tuple[int, li
     return full + [(capacity - free, held) for free in range(1, capacity + 1) for held in room[free]]
 
 
-def settle(bins: list[tuple[int, list]], capacity: int, full_from: int, carry: int) -> list[tuple[int, bool, list]]:
-    """Marks as done the nearly full bins and those that no later round can use.
+def place(counts: dict[int, int], capacity: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Best-fit decreasing over so many pieces of each length: the number of bins, and steps (length, rank, each, bin, offset).
 
-    If the underfull bins hold ``carry`` pieces or fewer, each piece goes on as a bin of
-    its own, which later rounds can combine best.  Else the emptiest go on as they are.
+    A step puts the pieces of that length from that rank on, ``each`` to a bin, into the
+    bins from ``bin`` on, where they start at ``offset``.  Bins alike are one run, so the
+    steps are few however many pieces there are.
     """
-    open_bins = [b for b in bins if b[0] < full_from]
-    if sum(len(held) for _, held in open_bins) <= carry:
-        return [(used, True, held) for used, held in bins if used >= full_from] + [(m[3], False, [m]) for _, held in open_bins for m in held]
-    keep = {id(b[1]) for b in open_bins if 2 * b[0] <= capacity}  # best fit leaves one such bin at most
-    keep |= {id(b[1]) for b in heapq.nsmallest(carry // 8, open_bins, key=lambda b: b[0])}
-    return [(used, id(held) not in keep, held) for used, held in bins]
-
-
-def _batch(bins: list[tuple[int, bool, list]], schema: pa.Schema):
-    for at in range(0, len(bins), 2000):
-        used, done, members = zip(*bins[at : at + 2000])
+    room: list[list] = [[] for _ in range(capacity + 1)]
+    mask, n_bins, steps = 0, 0, []
+
+    def put(free, run):
+        nonlocal mask
+        room[free].append(run)
+        mask |= 1 << free
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fit = mask >> size
+            if not fit:
+                new = -(-left // (capacity // size))
+                put(capacity, (n_bins, new))
+                n_bins, fit = n_bins + new, mask >> size
+            free = size + (fit & -fit).bit_length() - 1
+            first, n = room[free].pop()
+            if not room[free]:
+                mask &= ~(1 << free)
+            each = min(free // size, left)
+            taken = min(n, left // each)
+            steps.append((size, rank, each, first, capacity - free))
+            if taken < n:
+                put(free, (first + taken, n - taken))
+            if free > each * size:
+                put(free - each * size, (first, taken))
+            rank, left = rank + taken * each, left - taken * each
+    return n_bins, steps
+
+
+def settle(bins: list[tuple[int, list]], full_from: int, carry: int, last: bool = False) -> list[tuple[int, int, list]]:
+    """(used, state, members): the nearly full bins for good, and the pieces of the others.
+
+    ``carry`` pieces or fewer go on to the next round, each as a bin of its own.  More, and
+    all after the last merge, go to the last round, those of equal length together.
+    """
+    full = [(used, FULL, held) for used, held in bins if used >= full_from]
+    pieces = [m for used, held in bins if used < full_from for m in held]
+    if len(pieces) <= carry and not last:
+        return full + [(m[3], OPEN, [m]) for m in pieces]
+    late = defaultdict(list)
+    for m in pieces:
+        late[m[3]].append(m)
+    return full + [(length, LATE, held) for length, held in late.items()]
+
+
+def _batch(bins: list[tuple[int, int, list]], at: int):
+    """Batches of ``bins``; ``at`` tells one such call from all others of its round."""
+    for i in range(0, len(bins), 2000):
+        used, state, members = zip(*bins[i : i + 2000])
         placed = [[dict(zip(KEYS, (*m[:5], offset))) for m, offset in zip(held, accumulate((m[3] for m in held), initial=0))] for held in members]
-        yield pa.RecordBatch.from_pydict({"used": used, "done": done, "members": placed}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"used": used, "state": state, "at": [at] * len(used), "members": placed}, schema=SCHEMA)
 
 
 KEYS = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
-SCHEMA = pa.schema([("used", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(pa.struct([(k, pa.int64()) for k in KEYS])))])
+SCHEMA = pa.schema([("used", pa.int64()), ("state", pa.int32()), ("at", pa.int64()), ("members", pa.list_(pa.struct([(k, pa.int64()) for k in KEYS])))])
 
 
 def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None, full_share: float = 0.995, fan_in: int = 8, carry: int = 2_048, window: int = 100_000) -> DataFrame:
@@ -98,42 +144,67 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path:
     full_from, end = int(capacity * full_share), end_id.to_bytes(4, "little")
 
     def local(batches):
-        encoder, items = UnitEncoder(vocab_path), []
+        encoder, items, at = UnitEncoder(vocab_path), [], TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in common.slices(batch.column(1), 256):
-                for doc, text in zip(ids[at:], texts):
+            for i, texts in common.slices(batch.column(1), 256):
+                for doc, text in zip(ids[i:], texts):
                     packed = encoder.encode(text or "") + end
                     for piece, (start, length) in enumerate(cut(len(packed) // 4, capacity)):
                         items.append((length, [(doc, piece, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)]))]))
                 if len(items) >= window:
-                    yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
-                    items = []
-        yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
+                    yield from _batch(settle(best_fit(items, capacity), full_from, carry), at)
+                    items, at = [], at + 1
+        yield from _batch(settle(best_fit(items, capacity), full_from, carry), at)
 
     def merge(last: bool):
         def run(batches):
-            items = []
+            items, at = [], TaskContext.get().partitionId() << 32
             for batch in batches:
-                for used, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                for used, members in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                     items.append((used, [tuple(m.values()) for m in members]))
-                if len(items) >= window and not last:
-                    yield from _batch(settle(best_fit(items, capacity), capacity, full_from, carry), SCHEMA)
-                    items = []
-            bins = best_fit(items, capacity)
-            yield from _batch([(u, True, h) for u, h in bins] if last else settle(bins, capacity, full_from, carry), SCHEMA)
+                if len(items) >= window:
+                    yield from _batch(settle(best_fit(items, capacity), full_from, carry, last), at)
+                    items, at = [], at + 1
+            yield from _batch(settle(best_fit(items, capacity), full_from, carry, last), at)
 
         return run
 
     bins = common.checkpoint(docs.select("doc_id", "text").mapInArrow(local, BIN))
-    tasks, packed = bins.rdd.getNumPartitions(), bins.where("done")
+    tasks, rounds = bins.rdd.getNumPartitions(), [bins]
     while True:
         tasks = max(1, -(-tasks // fan_in))
-        bins = common.checkpoint(bins.where("not done").coalesce(tasks).mapInArrow(merge(tasks == 1), BIN))
-        packed = packed.unionByName(bins.where("done"))
+        bins = common.checkpoint(bins.where(f"state = {OPEN}").coalesce(tasks).mapInArrow(merge(tasks == 1), BIN))
+        rounds.append(bins)
         if tasks == 1:
             break
-    return packed.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    full, late = None, None
+    for k, bins in enumerate(rounds):
+        done, rest = bins.where(f"state = {FULL}"), bins.where(f"state = {LATE}").withColumn("round", F.lit(k))
+        full, late = (full.unionByName(done), late.unionByName(rest)) if k else (done, rest)
+
+    # the last round
+    n_bins, steps = place({r.used: r.n for r in late.groupBy("used").agg(F.sum(F.size("members")).alias("n")).collect()}, capacity)  # a row for each length at most
+    steps = docs.sparkSession.sparkContext.broadcast(np.array(sorted(steps), np.int64).reshape(-1, 5))
+
+    def assign(batches):
+        size, rank, each, first, offset = steps.value.T
+        for batch in batches:
+            mine, length = batch.column(5).to_numpy(), batch.column(3).to_numpy()
+            step = np.searchsorted((size << 40) + rank, (length << 40) + mine, "right") - 1
+            past = mine - rank[step]
+            columns = [*batch.columns[:5], pa.array(first[step] + past // each[step]), pa.array(offset[step] + past % each[step] * length)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    key = ["used", "round", "at"]
+    before = F.coalesce(F.sum("n").over(W.partitionBy("used").orderBy("round", "at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = late.select(*key, F.size("members").alias("n")).select(*key, before.alias("before"))
+    ranked = late.join(ranks, key).select("before", F.posexplode("members").alias("pos", "m"))
+    ranked = ranked.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", (F.col("before") + F.col("pos")).alias("rank"))
+    placed = ranked.mapInArrow(assign, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    full = full.withColumn("sequence_id", F.monotonically_increasing_id() + n_bins).select("sequence_id", F.explode("members").alias("m"))
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return full.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset").unionByName(placed.select(*columns))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

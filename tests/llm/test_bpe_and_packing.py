@@ -1,6 +1,7 @@
 """op6 and op3 against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -83,3 +84,20 @@ def test_packing(spark, sf_dir, nasty, nothing, docs, tokenizer):
 def test_best_fit_takes_the_tightest_bin():
     bins = packing.best_fit([(7, ["a"]), (5, ["b"]), (3, ["c"]), (5, ["d"]), (10, ["e"])], 10)
     assert sorted((used, sorted(held)) for used, held in bins) == [(10, ["a", "c"]), (10, ["b", "d"]), (10, ["e"])]
+
+
+def test_lengths_apart_still_meet(spark, tokenizer):
+    # one task has 1,200-token documents only, the other 840-token ones, each more pieces than it may carry
+    rows = [(i, " a" * (1199 if i < 60 else 839)) for i in range(120)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    used, _ = check_packed(packing.pack(frame, carry=16).collect(), frame, tokenizer)
+    assert used == 60  # 1,200 + 840 each
+
+
+def test_placing_a_histogram_is_best_fit():
+    rng = random.Random(3)
+    for capacity in (10, 64, 500):
+        counts = {s: rng.randint(1, 40) for s in rng.sample(range(1, capacity + 1), capacity // 2)}
+        n_bins, steps = packing.place(counts, capacity)
+        assert n_bins == len(packing.best_fit([(s, [None]) for s, n in counts.items() for _ in range(n)], capacity))
+        assert min(counts.values()) > 0 and all(o + e * s <= capacity for s, _, e, _, o in steps)
