@@ -17,7 +17,9 @@ A document's class isn't read when it is scored: the likeliest by the frequent w
 taken and paid for with its prior, so a score is the prior times the product over the
 words and the end, which is less than the mixture's probability of the text.
 
-Counts and statistics come from all training documents.  Words outside the most frequent
+Counts and statistics come from all training documents, weights from all distinct words
+of each class; those of documents outside the most frequent classes are learned from for
+the lattice of any class.  Words outside the most frequent
 ``most_frequent`` are scored by a join with the word table, so what is broadcast is
 bounded: the frequent words and the weights of the pieces.
 
@@ -30,6 +32,7 @@ empty result; a null doc_id falls into the fold of the empty id.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from copy import copy
 from functools import lru_cache
@@ -75,6 +78,11 @@ def vocabulary(path: str):
     return pieces, begins, share  # of later pieces 0.85; the word's end 0.1; bytes 0.05
 
 
+def log_add(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high + math.log1p(math.exp(low - high)) if low > NEVER else high
+
+
 class Lattice:
     """Forward and forward-backward recursions over many words at once."""
 
@@ -165,19 +173,38 @@ class Lattice:
             alpha[i + size, rows] = np.logaddexp(alpha[i + size, rows], alpha[i, rows] + weight)
         return alpha
 
+    def steps(self, codes: tuple, i: int):
+        """(length, piece number, log weight) of the arcs from ``i`` on; the number is None for what is spelled in bytes."""
+        for size in range(1, min(self.longest, len(codes) - i) + 1):
+            piece = self.table.get(codes[i : i + size])
+            if piece is not None:
+                yield size, piece, self.logp[piece]
+            elif size == 1 and i:
+                yield size, None, self.spelled(codes[i])
+
+    def forward(self, codes: tuple) -> array:
+        alpha = array("d", [NEVER]) * (len(codes) + 1)
+        alpha[0] = 0.0
+        for i in range(len(codes)):
+            for size, _, weight in self.steps(codes, i):
+                alpha[i + size] = log_add(alpha[i + size], alpha[i] + weight)
+        return alpha
+
     def one(self, word: str) -> float:
         """The same sum for a single, long word."""
+        return self.forward((START, *map(ord, word)))[-1] + self.end
+
+    def add_uses(self, word: str, total: np.ndarray) -> None:
+        """Adds a single, long word's expected uses of each piece to ``total``."""
         codes = (START, *map(ord, word))
-        alpha = [NEVER] * (len(codes) + 1)
-        alpha[0] = 0.0
-        for i in range(len(codes)):
-            for size in range(1, min(self.longest, len(codes) - i) + 1):
-                piece = self.table.get(codes[i : i + size])
-                weight = self.logp[piece] if piece is not None else self.spelled(codes[i]) if size == 1 and i else None
-                if weight is not None:
-                    high, low = max(alpha[i + size], alpha[i] + weight), min(alpha[i + size], alpha[i] + weight)
-                    alpha[i + size] = high + math.log1p(math.exp(low - high)) if low > NEVER else high
-        return alpha[-1] + self.end
+        alpha = self.forward(codes)
+        beta = array("d", [NEVER]) * (len(codes) + 1)
+        beta[-1] = 0.0
+        for i in reversed(range(len(codes))):
+            for size, piece, weight in self.steps(codes, i):
+                beta[i] = log_add(beta[i], weight + beta[i + size])
+                if piece is not None:
+                    total[piece] += math.exp(alpha[i] + weight + beta[i + size] - alpha[-1])
 
     def by_length(self, words: list[str], most: int = 48):
         """Index arrays of words of equal length up to ``most``, with their codes."""
@@ -200,9 +227,10 @@ class Lattice:
         return out
 
     def expected(self, words: list[str]) -> np.ndarray:
-        """Expected uses of each piece over the words' segmentations; words of over 48 characters are left to the prior."""
-        total = np.zeros(len(self.pieces))
-        for _, codes in self.by_length(words):
+        """Expected uses of each piece over the words' segmentations."""
+        total, long = np.zeros(len(self.pieces)), np.ones(len(words), bool)
+        for at, codes in self.by_length(words):
+            long[at] = False
             n, length = codes.shape
             arcs = self.arcs(codes)
             alpha = self.sums(arcs, n, length)
@@ -213,6 +241,8 @@ class Lattice:
             for i, size, rows, piece, weight in arcs:
                 if piece is not None:
                     total += np.bincount(piece, np.exp(alpha[i, rows] + weight + beta[i + size, rows] - alpha[length, rows]), len(total))
+        for i in np.flatnonzero(long):
+            self.add_uses(words[i], total)
         return total
 
 
@@ -303,19 +333,20 @@ def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, r
     """The model of the word table ``counts`` and of so many training documents, in all and in each class."""
     k_all = len(in_classes)
     names = [*(f"c{k}" for k in range(k_all)), "c"]
+    counts = counts.withColumn("rest", F.expr(" - ".join(["c", *names[:-1]])))  # uses in documents of no class
     sums = [x for k, name in enumerate(names) for x in (F.coalesce(F.sum(name), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(name) > 0).alias(f"v{k}"))]
-    said = counts.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), *sums).first()
+    said = counts.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.count_if(F.col("rest") > 0).alias("v_rest"), *sums).first()
     discount = min(0.95, max(0.1, said.once / (said.once + 2 * said.twice))) if said.once else 0.5
     pieces, begins, first = vocabulary(path)
     shares, ends = [first] * (k_all + 1), [0.1] * (k_all + 1)
     for _ in range(rounds if said[f"v{k_all}"] else 0):
 
         def run(batches, shares=shares, ends=ends):
-            lattice, total = Lattice(path), np.zeros((k_all or 1, len(pieces)))
+            lattice, total = Lattice(path), np.zeros((k_all + 1, len(pieces)))
             for table in gathered(batches):
                 words = np.array(table.column("word").to_pylist(), dtype=object)
-                for k in range(k_all or 1):
-                    own = words[table.column(names[k]).to_numpy() > 0]
+                for k, name in enumerate([*names[:-1], "rest"]):
+                    own = words[table.column(name).to_numpy() > 0]
                     if len(own):
                         total[k] += lattice.reweighed(shares[k], ends[k]).expected(own.tolist())
             kinds, places = np.nonzero(total)
@@ -324,11 +355,10 @@ def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, r
         uses = np.zeros((k_all + 1, len(pieces)))
         for r in counts.where("c > 0").mapInArrow(run, "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece and class at most
             uses[r.kind, r.piece] = r.uses
-        if k_all:
-            uses[k_all] = uses[:k_all].sum(axis=0)
+        uses[k_all] = uses.sum(axis=0)  # those of the classes and of the rest
         shares, ends = [], []
         for k in range(k_all + 1):
-            words = sum(said[f"v{i}"] for i in range(k_all)) if k == k_all and k_all else said[f"v{k}"]
+            words = said["v_rest"] + sum(said[f"v{i}"] for i in range(k_all)) if k == k_all else said[f"v{k}"]
             end = 0.95 * max(1, words) / max(2, words + uses[k][~begins].sum())
             share = np.empty(len(pieces))
             for mine, mass in ((begins, 1.0), (~begins, 0.95 - end)):

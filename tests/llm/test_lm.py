@@ -50,6 +50,23 @@ def test_expected_uses_add_up(lattice):
         assert (uses * lengths).sum() == pytest.approx(len(word) + 1)  # every letter and the start belong to one piece
 
 
+def test_long_words_teach_too(lattice):
+    uses = lattice.expected(["thlyou" * 10, "the"]) - lattice.expected(["the"])
+    assert (uses * np.array([len(p) for p in lattice.pieces])).sum() == pytest.approx(61)
+    short = np.zeros(len(lattice.pieces))
+    lattice.add_uses("thlyou", short)
+    assert short == pytest.approx(lattice.expected(["thlyou"]))
+
+
+def test_words_of_no_class_reach_the_weights(spark):
+    rows = [("zebra", 3, 0), ("zebu", 1, 0), ("gazelle", 2, 0)]
+    counts = spark.createDataFrame(rows, "word string, c long, c0 long")
+    path = lm.default_path()
+    with_class = lm.learn(counts, 4, [0], path).classes[-1]
+    without = lm.learn(counts.drop("c0"), 4, [], path).classes[-1]
+    assert with_class[-2] == pytest.approx(without[-2]) and with_class[-1] == pytest.approx(without[-1])
+
+
 def check(rows, frame):
     docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
     counts, n_docs = Counter(), 0
