@@ -2,7 +2,8 @@
 
 Lines are sequences of words; the edit bound is one word put in, left out or replaced.
 A line is dropped if an earlier one, by (doc_id, line number), is within the bound;
-lines of fewer than ``least_words`` words are left alone.
+lines of fewer than ``least_words`` words are left alone, or, from ``exact_words`` words on
+where that is given, dropped if they equal an earlier one.
 
 1. Equal lines come down to one, the earliest, by an aggregate.
 2. Lines within the bound share their first or their last half, so lines that share
@@ -83,11 +84,13 @@ def within_one(a: str, b: str) -> Column:
     return F.when(gap == 0, F.size(F.filter(same, lambda x: ~x)) <= 1).when(gap == 1, (first == 0) | rest).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """(doc, line_no) of every line of ``docs(doc_id, text)`` that goes."""
     docs = docs.select("doc_id", "text")
-    lines = with_words(split_lines(docs), least_words).withColumn("n", F.size("words"))
-    narrow = common.stored(lines.select("doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), half_keys().alias("halves")))
+    least = least_words if exact_words is None else min(least_words, exact_words)
+    lines = with_words(split_lines(docs), least).withColumn("n", F.size("words"))
+    halves = half_keys() if least == least_words else F.when(F.col("n") >= least_words, half_keys())  # null, so none, for lines that only equal ones can drop
+    narrow = common.stored(lines.select("doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), halves.alias("halves")))
     first = common.stored(narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.count("*").alias("n")).select("h1", "h2", "at.doc", "at.line_no", "n"))
 
     # lines that share a half with another line
@@ -123,9 +126,9 @@ def dropped_lines(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
     return occurs.where("gone or first_doc <> doc or first_line <> line_no").select("doc", "line_no")
 
 
-def dedup(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """(row, n_lines, n_dropped, text): each row of ``docs`` as a struct, its lines, how many of them go, and the text without those."""
-    gone = dropped_lines(docs, least_words=least_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped_lines(docs, least_words=least_words, exact_words=exact_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     rows = rows.join(gone.hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("row.text", "\n"))
     n = F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("lines")), F.lit(0))
@@ -136,9 +139,9 @@ def dedup(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
     return rows.select("row", n.alias("n_lines"), (n - left).alias("n_dropped"), text.alias("text"))
 
 
-def without_repeats(docs: DataFrame, *, least_words: int = 8) -> DataFrame:
+def without_repeats(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """``docs``, all columns, with text (and n_chars, if there) less the dropped lines; documents of which nothing but blanks is left go."""
-    out = dedup(docs, least_words=least_words).where("n_dropped = 0 or length(trim(text)) > 0")
+    out = dedup(docs, least_words=least_words, exact_words=exact_words).where("n_dropped = 0 or length(trim(text)) > 0")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*(new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
 

@@ -60,6 +60,19 @@ def test_against_all_pairs(spark):
     assert set(got) == brute(rows)
 
 
+def test_short_lines_that_repeat(spark):
+    rows = [*cases(), (200, "MIT License\n\n v1  v2\tv3\nv4"), (201, "v1 v2 v3\nMIT  License\nMIT Licence\nv1 v2 v3 v5\n \nv4")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first, repeats = {}, set()
+    for i, text in sorted(rows, key=lambda r: 2**63 - 1 if r[0] is None else r[0]):
+        for n, line in enumerate((text or "").split("\n")):
+            words, at = tuple(line.split()), (2**63 - 1 if i is None else i, n)
+            if words and first.setdefault(words, at) != at:
+                repeats.add(at)
+    got = {tuple(r) for r in lines.dropped_lines(frame, exact_words=1).collect()}
+    assert got == brute(rows) | repeats and {(201, 0), (201, 1), (201, 5)} <= got
+
+
 def rebuilt(rows):
     gone, out = brute(rows), []
     for i, text in rows:
