@@ -317,7 +317,8 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (zip(*links) if links else ((), ()))], names=["a", "b"])
 
     links = roles.join(sets, "doc_id").groupBy("gid", "part").applyInArrow(verify, "a long, b long")
-    repeated = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
+    several = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most").select("doc_id", "b")
+    repeated = named.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     found = components(links.unionByName(repeated))
     out = named.join(found, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -79,3 +79,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 51)}, **{i: 100 for i in range(101, 140)}, 300: 299}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_all_texts_of_a_repeated_doc_id_link(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    rows = [(50, t) for t in texts] + [(10 * k + 10, t) for k, t in enumerate(texts)]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {10}
