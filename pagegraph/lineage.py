@@ -18,10 +18,13 @@ def visible(spark: SparkSession) -> None:
 
 
 def _folder(df: DataFrame) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagegraph-checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "pagegraph-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -35,4 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the same folder, so that later scans read only the columns they need."""
     path = f"{_folder(df)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``stored`` wrote, once every reader of it has been written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
