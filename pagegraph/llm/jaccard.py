@@ -4,15 +4,19 @@ A document is the set of its distinct word shingles, hashed to 64 bits.  Documen
 one and the same set form a class and are represented by their smallest doc_id.
 
 1. Classes are partitioned into groups of similar sets: a class joins the group of its
-   smallest token hash (among hot tokens, if they are half of its set), and larger groups are cut into blocks of ``block`` members.
-   For prefixes tokens are ordered by (hot or not, hash), so tokens of widespread passages
-   come last.  Hot is what a sketch of fixed size counts far more often than its mean; it
-   only speeds things up, since prefixes by any order are exact.
+   smallest token hash (among hot tokens, if they are half of its set) and of its band of
+   sizes, and larger groups are cut into blocks of ``block`` members.
+   For prefixes tokens are ordered by (heat, hash), rarest first, so tokens of widespread
+   passages come last.  Heat is how far a sketch of fixed size counts a token above its
+   mean, in powers of two, 0 for all that don't stand out; it only speeds things up, since
+   prefixes by any order are exact.
 2. The token-group matrix has an entry for each token and each group whose union of
    prefixes holds it.  If |A n B| >= t |A u B|, the prefixes of A and B, |X| - ceil(t |X|)
    + k_X tokens long, share min(k_A, k_B) tokens at least.  So joining the classes with
    the matrix and counting bounds the overlap of a class with each group; groups below
-   the bound are never opened.
+   the bound, and groups of sizes that no set of the class's size links to, are never
+   opened.  Tokens without heat are few each, so one exchange finds those that only one
+   class has; hot ones are taken to have company.
 3. Opened groups get the full sets: the union of the members' sets bounds the overlap
    once more, then members are verified exactly, leaving out pairs that are linked
    already.  A task holds the members of one block and at most about ``queries`` callers.
@@ -26,7 +30,7 @@ have a null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-
+import math
 import zlib
 
 import numpy as np
@@ -187,11 +191,11 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 NAMES = ["doc_id", "n", "d1", "d2", "task", "chunk", "counts"]
-SKETCH_BITS, CHUNKS = 23, 64
+SKETCH_BITS, CHUNKS, SPREAD = 23, 64, 64
 
 
-def hot_tokens(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
-    """The sketch's counters that stand out, as a packed bit map of fixed size; sketches are added up ``fan_in`` tasks at a time."""
+def heat_map(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
+    """The heat of each counter of the sketch, a byte each, so of fixed size; sketches are added up ``fan_in`` tasks at a time."""
 
     def add(rows: pa.Table) -> np.ndarray:
         total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
@@ -205,26 +209,32 @@ def hot_tokens(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
     def mark(rows: pa.Table) -> pa.Table:
         counts = add(rows)
         mean = float(counts.mean())
-        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([np.packbits(counts > mean + 6 * mean**0.5 + 4).tobytes()], pa.binary())})
+        most = mean + 6 * mean**0.5 + 4
+        heat = np.where(counts > most, 1 + np.log2(np.maximum(counts, most) / most), 0).astype(np.uint8)
+        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([zlib.compress(heat.tobytes(), 1)], pa.binary())})
 
     parts = parts.select("chunk", F.expr(f"div(task, {fan_in})").alias("part"), "counts")
     merged = parts.groupBy("chunk", "part").applyInArrow(merge, "chunk int, counts binary")
-    bits = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS // 8), np.uint8)
+    heat = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
     for r in merged.groupBy("chunk").applyInArrow(mark, "chunk int, counts binary").collect():  # a row a chunk
-        bits[r.chunk] = np.frombuffer(r.counts, np.uint8)
-    return bits.ravel()
+        heat[r.chunk] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
+    return heat.ravel()
+
 
+def prefixes(docs: DataFrame, width: int, percent: int, heat: np.ndarray) -> DataFrame:
+    """(doc_id, n, head, cold, hot): the smallest token and the prefix in the global order of each document, without and with heat; a task leaves out copies with a larger doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(heat.tobytes(), 1))
 
-def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, head, tokens): the smallest token and the prefix in the global order of each document; a task leaves out copies with a larger doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    def lists(tokens):
+        ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
 
     def run(batches):
-        shingle, bits, seen = Shingler(width), shared.value, {}
+        shingle, heat, seen = Shingler(width), np.frombuffer(zlib.decompress(shared.value), np.uint8), {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in common.slices(batch.column(1), 512):
-                doc, size, head, tokens = [], [], [], []
+                doc, size, head, cold, hot = [], [], [], [], []
                 for i, text in zip(ids[at:], texts):
                     h = shingle(text)
                     if i is None or not len(h):
@@ -233,19 +243,20 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     if seen.get(digest, i + 1) <= i:
                         continue
                     seen[digest] = i
+                    if len(seen) > 1_000_000:
+                        seen = {}
                     doc.append(i)
                     size.append(len(h))
                     length = len(h) - required(len(h), percent) + slack(len(h))
-                    place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                    is_hot = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+                    own = heat[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    warm = np.flatnonzero(own)
                     # what copies of a widespread text add of their own is never hot, so their head is a token that they share
-                    head.append(as_long(h[is_hot] if 2 * is_hot.sum() >= len(h) else h)[0])
-                    tokens.append(as_long(np.concatenate([h[~is_hot][:length], h[is_hot]])[:length]))
-                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(head, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "head", "tokens"])
+                    head.append(as_long(h[warm] if 2 * len(warm) >= len(h) else h)[0])
+                    cold.append(as_long(h[own == 0][:length]))
+                    hot.append(as_long(h[warm[np.argsort(own[warm], kind="stable")]][: max(0, length - len(cold[-1]))]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(head, pa.int64()), lists(cold), lists(hot)], ["doc_id", "n", "head", "cold", "hot"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, head long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, head long, cold array<long>, hot array<long>")
 
 
 def full_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
@@ -269,36 +280,43 @@ def full_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, set binary")
 
 
-def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int = 256, queries: int = 2_048) -> DataFrame:
+def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int = 128, queries: int = 1_024) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``; sets link if 100 |A n B| >= percent |A u B|."""
+    common.visible(docs.sparkSession)
     told = common.stored(describe(docs, width))
-    hot = hot_tokens(told.where("chunk is not null").select("task", "chunk", "counts"))
-    told = told.where("chunk is null").select("doc_id", "n", "d1", "d2")
-    classes = told.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = told.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    heat = heat_map(told.where("chunk is not null").select("task", "chunk", "counts"))
+    seen = told.where("chunk is null").select("doc_id", "n", "d1", "d2")
+    classes = seen.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    named = seen.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     named = common.stored(named)
+    common.discard(told)
 
-    # groups
+    # groups; a head of many members is spread over ``SPREAD`` keys before it is looked up
     reps = named.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    prefix = common.stored(prefixes(docs, width, percent, hot))
-    headed = prefix.select("doc_id", "n", "head").join(reps, "doc_id", "left_semi")
-    large = headed.groupBy("head").count().where(F.col("count") > block).select("head", F.ceil(F.col("count") / block).alias("blocks"))
+    prefix = common.stored(prefixes(docs, width, percent, heat).join(reps, "doc_id", "left_semi"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.25))).cast("int")
+    headed = prefix.select("doc_id", "n", "head", band.alias("band"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SPREAD)).cast("int").alias("at"))
+    large = headed.groupBy("head", "band").count().where(F.col("count") > block).select("head", "band", F.ceil(F.col("count") / block).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("at"))
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
     slack_of = (F.lit(1) + F.expr("div(n, 25)")).cast("int")
-    members = headed.join(large, "head", "left").select("doc_id", "n", slack_of.alias("k"), F.xxhash64("head", part).alias("gid"))
+    members = headed.join(large, ["head", "band", "at"], "left").select("doc_id", "n", slack_of.alias("k"), F.xxhash64("head", "band", part).alias("gid"))
 
     # matrix and bound; a class that shares too few tokens with all others together has no links
-    posting = prefix.select("doc_id", F.explode("tokens").alias("token"))
-    several = posting.groupBy("token").count().where("count > 1").select("token")
-    posting = common.stored(posting.join(several, "token"))
+    cold = prefix.select("doc_id", F.explode("cold").alias("token")).repartition("token")
+    cold = cold.withColumn("several", F.count("*").over(Window.partitionBy("token"))).where("several > 1")
+    posting = common.stored(cold.select("doc_id", "token").unionByName(prefix.select("doc_id", F.explode("hot").alias("token"))))
     shared = posting.groupBy("doc_id").agg(F.count("*").alias("shared"))
     enough = F.expr(f"shared >= 1 + div(div(n * {percent} + 99, 100), 25)")
-    members = common.stored(members.join(shared, "doc_id").where(enough).select("doc_id", "k", "gid"))
-    posting = common.stored(common.members_of(posting, members, "doc_id").join(members, "doc_id"))
-    matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least")).withColumnRenamed("gid", "target")
-    # of two groups the one with the larger number calls
-    met = posting.join(matrix, "token").where("target < gid").groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
+    members = common.stored(members.join(shared, "doc_id").where(enough).select("doc_id", "n", "k", "gid"))
+    common.discard(prefix)
+    every, posting = posting, common.stored(common.members_of(posting, members, "doc_id").join(members, "doc_id"))
+    common.discard(every)
+    matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least"), F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("gid", "target")
+    # of two groups the one with the larger number calls, if sizes allow a link
+    near = F.expr(f"target < gid and 100 * n >= {percent} * low and 100 * high >= {percent} * n")
+    met = posting.join(matrix, "token").where(near).groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min(F.least("k", "least")).alias("bound"))
     calls = common.stored(met.where("met >= bound").select("doc_id", F.col("target").alias("gid")))
+    common.discard(posting)
 
     # opened groups
     opened = calls.groupBy("gid").agg(F.ceil(F.count("*") / queries).cast("int").alias("parts"))
@@ -306,6 +324,7 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     as_member = members.join(sized, "gid").select("doc_id", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inner"))
     as_caller = calls.join(sized, "gid").select("doc_id", "gid", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), F.lit(False).alias("inner"))
     roles = common.stored(as_member.unionByName(as_caller))
+    common.discard(members, calls)
     sets = full_sets(docs, width, roles.select("doc_id"))
 
     def verify(rows: pa.Table) -> pa.Table:
