@@ -1,9 +1,9 @@
 """Near-duplicate line removal by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are sequences of words; the edit bound is one word put in, left out or replaced.
-A line is dropped if an earlier one, by (doc_id, line number), is within the bound;
-lines of fewer than ``least_words`` words are left alone, or, from ``exact_words`` words on
-where that is given, dropped if they equal an earlier one.
+Lines are sequences of words; the edit bound is one word put in, left out or replaced
+for lines of ``edit_from`` words or more, and none for shorter ones.  A line is dropped
+if an earlier one, by (doc_id, line number), is within the bound of both; lines without
+words stay.
 
 1. Equal lines come down to one, the earliest, by an aggregate.
 2. Lines within the bound share their first or their last half, so lines that share
@@ -17,9 +17,11 @@ where that is given, dropped if they equal an earlier one.
    Only the earliest line of each key is looked up, never the pairs of a key.
 5. The lines found are compared word by word with the earlier ones before they go.
 
-Edge cases: a null text stays null; lines that are empty or short stay; rows that repeat
+Edge cases: a null text stays null; lines that are empty or blank stay; rows that repeat
 a doc_id share their decisions, by line number; a null doc_id comes last; a document may
-be left with an empty text; an empty table gives an empty result.
+be left with an empty text; texts and lines of any length are worked on whole; ties don't
+arise, since places are distinct but for rows that repeat a doc_id; other columns, names
+like ``line_no`` included, pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,12 +86,11 @@ def within_one(a: str, b: str) -> Column:
     return F.when(gap == 0, F.size(F.filter(same, lambda x: ~x)) <= 1).when(gap == 1, (first == 0) | rest).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, edit_from: int = 8) -> DataFrame:
     """(doc, line_no) of every line of ``docs(doc_id, text)`` that goes."""
     docs = docs.select("doc_id", "text")
-    least = least_words if exact_words is None else min(least_words, exact_words)
-    lines = with_words(split_lines(docs), least).withColumn("n", F.size("words"))
-    halves = half_keys() if least == least_words else F.when(F.col("n") >= least_words, half_keys())  # null, so none, for lines that only equal ones can drop
+    lines = with_words(split_lines(docs), 1).withColumn("n", F.size("words"))
+    halves = F.when(F.col("n") >= edit_from, half_keys())  # null, so none, for lines that only equal ones can drop
     narrow = common.stored(lines.select("doc", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), halves.alias("halves")))
     first = common.stored(narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("at"), F.count("*").alias("n")).select("h1", "h2", "at.doc", "at.line_no", "n"))
 
@@ -101,15 +102,17 @@ def dropped_lines(docs: DataFrame, *, least_words: int = 8, exact_words: int | N
 
     # their words, fetched by document and line
     some = common.members_of(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), near.select(F.col("doc").alias("doc_id")), "doc_id")
-    found = with_words(common.members_of(split_lines(some), near, "doc", "line_no"), least_words)
+    found = with_words(common.members_of(split_lines(some), near, "doc", "line_no"), edit_from)
     # rows that repeat a doc_id may differ in text: the line must be the one meant
     found = found.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64("words", F.lit(1)))
     texts = common.stored(found.join(near, ["doc", "line_no", "h1", "h2"]).dropDuplicates(["h1", "h2"]))
+    common.discard(shared, near)
 
     # keys that meet
-    keys = common.stored(neighbourhood(texts))
-    busy = common.stored(keys.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
-    keys = common.stored(common.members_of(keys, busy, "k1", "k2").join(busy, ["k1", "k2"]).select("k1", "k2", "pos", F.struct("doc", "line_no").alias("at")))
+    every = common.stored(neighbourhood(texts))
+    busy = common.stored(every.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    keys = common.stored(common.members_of(every, busy, "k1", "k2").join(busy, ["k1", "k2"]).select("k1", "k2", "pos", F.struct("doc", "line_no").alias("at")))
+    common.discard(every, busy)
     by_place = common.stored(keys.groupBy("k1", "k2", "pos").agg(F.min("at").alias("least"), F.count("*").alias("n")))
     replaced = keys.join(by_place.where("n > 1 and pos >= 0"), ["k1", "k2", "pos"]).select("at", "least")
     by_key = by_place.groupBy("k1", "k2").agg(F.min(F.expr("case when pos < 0 then least end")).alias("whole"), F.min(F.expr("case when pos >= 0 then least end")).alias("cut")).where("whole is not null and cut is not null")
@@ -122,13 +125,16 @@ def dropped_lines(docs: DataFrame, *, least_words: int = 8, exact_words: int | N
     gone = found.join(mine, "at").join(other, "least").where(within_one("words", "other")).select("h1", "h2")
     state = first.where("n > 1").select("h1", "h2", F.lit(False).alias("gone"), "doc", "line_no").unionByName(gone.select("h1", "h2", F.lit(True).alias("gone"), F.lit(None).cast("bigint").alias("doc"), F.lit(None).cast("int").alias("line_no")))
     state = common.stored(state.groupBy("h1", "h2").agg(F.max("gone").alias("gone"), F.max("doc").alias("first_doc"), F.max("line_no").alias("first_line")))
+    common.discard(first, texts, keys, by_place)
     occurs = common.members_of(narrow.select("doc", "line_no", "h1", "h2"), state, "h1", "h2").join(state, ["h1", "h2"])
-    return occurs.where("gone or first_doc <> doc or first_line <> line_no").select("doc", "line_no")
+    out = common.stored(occurs.where("gone or first_doc <> doc or first_line <> line_no").select("doc", "line_no"))
+    common.discard(narrow, state)
+    return out
 
 
-def dedup(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, edit_from: int = 8) -> DataFrame:
     """(row, n_lines, n_dropped, text): each row of ``docs`` as a struct, its lines, how many of them go, and the text without those."""
-    gone = dropped_lines(docs, least_words=least_words, exact_words=exact_words).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped_lines(docs, edit_from=edit_from).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     rows = rows.join(gone.hint("shuffle_hash"), "doc", "left").withColumn("lines", F.split("row.text", "\n"))
     n = F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("lines")), F.lit(0))
@@ -139,9 +145,9 @@ def dedup(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = No
     return rows.select("row", n.alias("n_lines"), (n - left).alias("n_dropped"), text.alias("text"))
 
 
-def without_repeats(docs: DataFrame, *, least_words: int = 8, exact_words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, *, edit_from: int = 8) -> DataFrame:
     """``docs``, all columns, with text (and n_chars, if there) less the dropped lines; documents of which nothing but blanks is left go."""
-    out = dedup(docs, least_words=least_words, exact_words=exact_words).where("n_dropped = 0 or length(trim(text)) > 0")
+    out = dedup(docs, edit_from=edit_from).where("n_dropped = 0 or length(trim(text)) > 0")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*(new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
 
@@ -158,12 +164,12 @@ WITH d AS (
   SELECT doc, i - 1 AS line_no, regexp_split_to_array(regexp_replace(ls[i], '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '[ \t\n\x0B\f\r]+') AS w
   FROM (SELECT doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
 ), k AS (
-  SELECT DISTINCT doc, line_no, w FROM l WHERE len(w) >= 8
+  SELECT DISTINCT doc, line_no, w FROM l WHERE w <> ['']
 ), f AS (
   SELECT w, min((doc, line_no)) AS pl, row_number() OVER () AS id FROM k GROUP BY w
 ), h AS (
   SELECT DISTINCT id, w, pl, side, n, CASE side WHEN 0 THEN w[1:n] ELSE w[len(w) - n + 1:len(w)] END AS half
-  FROM (SELECT *, unnest([len(w) // 2, (len(w) - 1) // 2]) AS n FROM f), (VALUES (0), (1)) AS s(side)
+  FROM (SELECT *, unnest([len(w) // 2, (len(w) - 1) // 2]) AS n FROM f WHERE len(w) >= 8), (VALUES (0), (1)) AS s(side)
 ), c AS (
   SELECT DISTINCT a.id, a.w AS aw, b.w AS bw FROM h a JOIN h b ON a.side = b.side AND a.n = b.n AND a.half = b.half AND b.pl < a.pl
 ), e AS (
