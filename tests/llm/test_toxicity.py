@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pagegraph.llm import common, toxicity
 
 
@@ -34,6 +36,35 @@ def test_quotation_weighs_less_than_abuse():
     assert toxicity.evidence(None, hits) == (0, 0)
 
 
+def test_reporting_outside_the_clause_excuses_nothing():
+    hits = toxicity.Hits(toxicity.Lexicon({t: (False, True) for t in ("stupid", "idiot", "moron")}))
+    plain = lambda text: toxicity.evidence(text, hits)[1] == 0 < toxicity.evidence(text, hits)[0]
+    quoted = lambda text: toxicity.evidence(text, hits)[0] == 0 < toxicity.evidence(text, hits)[1]
+    assert plain("you are a stupid idiot and a moron he said") and plain("he said you are an idiot")
+    assert plain("so called stupid idiot moron you are") and plain("he said so. idiot!") and plain('what "fun" this idiot has "had"')
+    assert plain("il a dit tu idiot") and plain('an "idiot without a closing mark')
+    assert quoted('he wrote: "stupid idiot moron" and left') and quoted('the word “idiot” is old') and quoted("she said: moron")
+    model = toxicity.Model({t: (False, True) for t in ("stupid", "idiot", "moron")}, toxicity.fit(np.array([[1.0, 0.0, 0.0]] * 50 + [[1.0, 2.0, 0.0]] * 50), np.array([0.0] * 50 + [1.0] * 50)).tolist())
+    one = model.scorer()
+    assert min(map(one, ("you are a stupid idiot and a moron he said", "so called stupid idiot moron you are"))) >= 0.5
+    assert one("nothing here") < one('they wrote "idiot" once') < one("they are idiot once")
+
+
+def test_a_stem_may_be_misspelled():
+    lexicon, rng = toxicity.Lexicon({"lowei": (True, True)}), random.Random(1)
+    for w in ["loweibung", "lowibung", "1oweibung", "loeweibung", "lower", "lo", *("".join(rng.choice("lowei") for _ in range(rng.randint(1, 8))) for _ in range(2000))]:
+        near = any(edits(w[:k], "lowei") <= 1 for k in range(len(w) + 1))
+        assert lexicon.match(w) == (1.0 if w.startswith("lowei") else toxicity.MISSPELLED if near else 0.0), w
+        assert lexicon.near(w) == ({"lowei"} if near else set())
+
+
+def test_the_sample_keeps_to_its_bounds(spark):
+    docs, labels = corpus(spark, 120)
+    assert toxicity.train(docs, labels, most_bytes=0).terms == {}
+    few = toxicity.train(docs, labels, most_toxic=3, most_clean=5)
+    assert few.weights != toxicity.train(docs, labels).weights
+
+
 def corpus(spark, n=600):
     rng = random.Random(9)
     plain = ["".join(rng.choice("aeioubdfgklmnprst") for _ in range(rng.randint(3, 9))) for _ in range(400)]
@@ -80,3 +111,11 @@ def test_query(spark, sf_dir):
     rows = toxicity.op5_lexicon_toxicity(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == (common.fold(r.doc_id) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_held_out_accuracy_of_the_query(spark):
+    folder = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in toxicity.op5_lexicon_toxicity(spark, folder).where("held_out").collect() if r.doc_id in truth]
+    caught = sum(p and t for p, t in held)
+    assert caught >= 0.9 * sum(t for _, t in held) and caught >= 0.98 * sum(p for p, _ in held)
