@@ -17,7 +17,7 @@ def visible(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
-def _folder(df: DataFrame) -> str:
+def folder(df: DataFrame) -> str:
     """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -30,13 +30,13 @@ def _folder(df: DataFrame) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df``, materialised reliably: a lost executor costs no recomputation."""
-    _folder(df)
+    folder(df)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the same folder, so that later scans read only the columns they need."""
-    path = f"{_folder(df)}/{uuid.uuid4().hex}.parquet"
+    path = f"{folder(df)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.stored_at = path
