@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import checkpoint, discard, stored, visible
+from ..lineage import checkpoint, discard, folder, stored, visible
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def fold_column(name: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-__all__ = ["checkpoint", "discard", "fold", "fold_column", "members_of", "slices", "stored", "table", "visible"]
+__all__ = ["checkpoint", "discard", "fold", "fold_column", "folder", "members_of", "slices", "stored", "table", "visible"]
 
 
 def slices(column, size: int):

@@ -4,8 +4,7 @@ import random
 
 import duckdb
 
-from pagegraph.llm import lines, warc
-from pyspark.sql import functions as F
+from pagegraph.llm import lines
 
 
 def distance_one(a, b):
@@ -95,26 +94,11 @@ def test_rows_are_rebuilt(spark, nasty, nothing):
 
 def test_oracle(spark, sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    for query, sql in ((lines.op8_line_dedup, lines.ORACLE), (warc.op2_warc_merkle, warc.ORACLE)):
-        got = query(spark, sf_dir)
-        assert sorted(map(tuple, got.collect())) == sorted(con.sql(sql).select(*got.columns).fetchall())
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = lines.op8_line_dedup(spark, sf_dir)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(lines.ORACLE).select(*got.columns).fetchall())
 
 
 def test_native_plan(spark, sf_dir):
     plan = lines.op8_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_audit_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"u{i % 3}", f"body {i}" if i % 7 else None) for i in range(3000)] + [(5, "u", "again"), (5, "u", "again"), (None, None, None)], "page_id long, url string, html string")
-    mine = warc.leaves(pages, file_ids=500)
-    assert warc.audit(mine, mine).count() == 0
-    other = warc.leaves(pages.withColumn("html", F.when(F.col("page_id").isin(77, 2500), "rot!!!").otherwise(F.col("html"))), file_ids=500)
-    assert {r.page_id for r in warc.audit(mine, other).collect()} >= {77, 2500}
-    short = warc.leaves(pages.where("not (page_id <=> 2999)"), file_ids=500)
-    assert [(r.page_id, r.found) for r in warc.audit(mine, short).collect()] == [(2999, None)]
-    assert warc.leaves(pages.limit(0)).count() == 0
-    starts = mine.where("file = 1").orderBy("idx").collect()
-    assert all(a.start + a.length == b.start for a, b in zip(starts, starts[1:]))
