@@ -8,25 +8,27 @@ first weights as prior.  A first piece is drawn from those that begin a word, la
 from the rest and the word's end, so the lattice is a distribution over words.
 
 On top, a lattice arc for each word known from training carries its discounted share of
-the training tokens, and the mass set free by the discount goes to the subword lattice:
+the training tokens, and the mass set free by the discount goes to the subword arcs:
 P(w) = max(c - D, 0) / N + (D V / N) lattice(w).  Each of the most frequent values of
 ``class_column`` among training documents has counts and a lattice of its own:
 P_k(w) = max(c_k - D, 0) / N_k + (D V_k / N_k) (0.9 lattice_k(w) + 0.1 G(w)), where G is
 the discounted share over all classes, brought to 1.  All these sum to 1 over all words.
-A document's class isn't read when it is scored: the likeliest by the frequent words is
-taken and paid for with its prior, so a score is the prior times the product over the
-words and the end, which is less than the mixture's probability of the text.
+A document's class isn't read when it is scored: its probability is the marginal over the
+classes, log10 of the sum over k of prior_k times the product of P_k over the words and
+the end.  One class more, of a tenth of the prior, stands for documents of any class.
 
 Counts and statistics come from all training documents, weights from all distinct words
 of each class; those of documents outside the most frequent classes are learned from for
-the lattice of any class.  Words outside the most frequent
-``most_frequent`` are scored by a join with the word table, so what is broadcast is
-bounded: the frequent words and the weights of the pieces.
+the lattice of any class.  What is broadcast is bounded: the weights of the pieces, and the words
+whose count reaches a threshold that a histogram gives, ``most_frequent`` at most.  All
+other words are scored by a join with the word table, with the same sums, so the bound
+changes no score.
 
 Edge cases: a null or empty text is its end alone; without training documents N is 0 and
-the lattice alone scores; words with characters that the pieces lack are spelled in
-bytes; repeated rows are scored, and learned from, once each; an empty table gives an
-empty result; a null doc_id falls into the fold of the empty id.
+the lattice alone scores; repeated rows are scored and counted once each; a null doc_id
+counts as the empty text for its fold; words of any length are scored and learned from;
+ties among classes of equal size go by name; columns other than doc_id, text and the
+class are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -246,6 +248,22 @@ class Lattice:
         return total
 
 
+def joint(lattices: list[Lattice], words: list[str]) -> np.ndarray:
+    """``log_probabilities`` of each word in a row by each lattice in a column; the lattices differ in weights only, so they share the look-up of arcs."""
+    first, logp, ends = lattices[0], np.stack([x.logp for x in lattices], 1), np.array([x.end for x in lattices])
+    out = np.full((len(words), len(lattices)), np.nan)
+    for at, codes in first.by_length(words):
+        n, length = codes.shape
+        alpha = np.full((length + 1, n, len(lattices)), NEVER)
+        alpha[0] = 0
+        for i, size, rows, piece, weight in first.arcs(codes):
+            alpha[i + size, rows] = np.logaddexp(alpha[i + size, rows], alpha[i, rows] + (weight[:, None] if piece is None else logp[piece]))
+        out[at] = alpha[length] + ends
+    for i in np.flatnonzero(np.isnan(out[:, 0])):
+        out[i] = [x.one(words[i]) for x in lattices]
+    return out
+
+
 def gathered(batches, most: int = 50_000):
     """Record batches put together to about ``most`` rows, for the sake of long arrays."""
     held, rows = [], 0
@@ -323,13 +341,18 @@ class Model:
             lattice = np.logaddexp(lattice + math.log(0.9), known + math.log(0.1))
         return np.logaddexp(kept, lattice + math.log(self.discount * distinct / tokens)) / math.log(10)
 
+    def sums(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """For words in rows, seen ``counts`` times in each class and in all, with a column of ``lattice`` each: whether a word is known, its base, and log10 P_k of all classes."""
+        c = counts[:, -1]
+        return np.column_stack([(c > 0).astype(float), self.base(c), *(self.log10(k, counts[:, k], c, lattice[:, k]) for k in range(len(self.classes)))])
+
     def closing(self) -> np.ndarray:
         """Of the end of a document: whether it is known, base, and for each class log10 of prior and probability; the lattice has no end."""
         own = [math.log10(prior) + (float(self.log10(k, n, self.documents, NEVER)) if self.total else math.log10(0.5)) for k, (_, _, n, prior, *_) in enumerate(self.classes)]
         return np.array([float(self.documents > 0), float(self.base(self.documents)), *own])
 
 
-def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, rounds: int = 3, prior: float = 0.01) -> Model:
+def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, rounds: int = 2, prior: float = 0.001) -> Model:
     """The model of the word table ``counts`` and of so many training documents, in all and in each class."""
     k_all = len(in_classes)
     names = [*(f"c{k}" for k in range(k_all)), "c"]
@@ -372,22 +395,41 @@ def learn(counts: DataFrame, documents: int, in_classes: list[int], path: str, r
     return Model(path, discount, classes)
 
 
+def rank_of(n: str):
+    """Counts in steps of a sixteenth of a doubling: few values whatever the input."""
+    return F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+
+
+def threshold(counts: DataFrame, most: int) -> int:
+    """The least ``rank_of`` n from which on the table has ``most`` words at most."""
+    least, room = 1 << 30, most
+    for r in sorted(counts.groupBy(rank_of("n").alias("rank")).count().collect(), key=lambda r: -r["rank"]):  # a row a step
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["rank"]
+    return least
+
+
 def score(docs: DataFrame, *, vocab_path: str | None = None, held_out_fold: int = 1, most_frequent: int = 200_000, class_column: str | None = "lang", most_classes: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``; classes are learned if ``docs`` has ``class_column``."""
+    common.visible(docs.sparkSession)
     path = vocab_path or default_path()
     group = F.col(class_column).cast("string") if class_column in docs.columns else F.lit(None).cast("string")
     docs = docs.select("doc_id", "text", group.alias("class"))
     training = docs.where(common.fold_column() != held_out_fold)
-    documents = training.count()
-    top_classes = training.groupBy("class").count().orderBy(F.desc("count"), "class").limit(most_classes).collect()
+    top_classes = training.groupBy("class").agg(F.count("*").alias("n")).select("class", "n", F.sum("n").over(Window.partitionBy()).alias("documents")).orderBy(F.desc("n"), "class").limit(most_classes).collect()  # a row a class
+    documents = top_classes[0].documents if top_classes else 0
     counts = common.stored(word_counts(docs, held_out_fold, [r["class"] for r in top_classes]))
-    model = learn(counts, documents, [r["count"] for r in top_classes], path)
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    model = learn(counts, documents, [r.n for r in top_classes], path)
+    sc = docs.sparkSession.sparkContext
     columns = [*(f"c{k}" for k in range(len(top_classes))), "c"]
-    top = counts.orderBy(F.desc("n"), "word").limit(most_frequent).drop("n").toArrow()
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
-    table = np.column_stack([(c > 0).astype(float), model.base(c), *(model.log10(k, top.column(x).to_numpy(), c, lattice.log_probabilities(words)) for k, (x, lattice) in enumerate(zip(columns, model.lattices())))])
+    least = threshold(counts, most_frequent)
+    top = counts.where(rank_of("n") >= least).drop("n").toArrow()
+    words = top.column("word").to_pylist()
+    table = model.sums(np.column_stack([top.column(x).to_numpy() for x in columns]), joint(model.lattices(), words))
     shared, ends = sc.broadcast(({w.encode("utf-8"): i for i, w in enumerate(words)}, table)), model.closing()
+    names = ["known", "base", *(f"m{k}" for k in range(len(columns)))]
 
     def per_document(batches):
         (frequent, table), row = shared.value, TaskContext.get().partitionId() << 33
@@ -397,62 +439,54 @@ def score(docs: DataFrame, *, vocab_path: str | None = None, held_out_fold: int
                 docs_out, rest = [], []
                 for i, text in zip(ids[at:], texts):
                     words = words_of(text)
-                    places, times, others = [], [], []
+                    places, times = [], []
                     for word, n in Counter(words).items():
                         place = frequent.get(word)
                         if place is None:
-                            others.append((word, n))
+                            rest.append((row, word, n))
                         else:
                             places.append(place)
                             times.append(n)
                     sums = ends + np.array(times, dtype=float) @ table[places] if places else ends
-                    kind = int(sums[2:].argmax())
-                    rest += [(row, kind, word, n) for word, n in others]
-                    docs_out.append((row, i, common.fold(i) == held_out_fold, len(words) + 1, round(sums[0]), sums[1], sums[2 + kind]))
+                    docs_out.append((row, i, common.fold(i) == held_out_fold, len(words) + 1, *sums.tolist()))
                     row += 1
                 yield rows(docs_out, rest)
 
     def rows(docs_out, rest):
-        r, i, h, t, k, b, m = zip(*docs_out)
-        rr, kinds, w, n = zip(*rest) if rest else ((), (), (), ())
+        r, i, h, t, *sums = zip(*docs_out)
+        rr, w, n = zip(*rest) if rest else ((), (), ())
         none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(rr), kind)])
-        some = lambda values, kind: pa.concat_arrays([pa.nulls(len(r), kind), pa.array(values, kind)])
+        some = lambda values, kind: pa.concat_arrays([pa.nulls(len(r), kind), values.cast(kind)])
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(r + rr, pa.int64()), none(i, pa.int64()), none(h, pa.bool_()), none(t, pa.int64()), none(k, pa.int64()), none(b, pa.float64()), none(m, pa.float64()),
-                some(kinds, pa.int32()), pa.concat_arrays([pa.nulls(len(r), pa.string()), pa.array(w, pa.binary()).cast(pa.string())]), some(n, pa.int64()),
-            ],
-            ["row", "doc_id", "held_out", "n_tokens", "known", "base", "mixed", "kind", "word", "n"],
+            [pa.array(r + rr, pa.int64()), none(i, pa.int64()), none(h, pa.bool_()), none(t, pa.int64()), some(pa.array(w, pa.binary()), pa.string()), some(pa.array(n, pa.int64()), pa.int64()), *(none(x, pa.float64()) for x in sums)],
+            ["row", "doc_id", "held_out", "n_tokens", "word", "times", *names],
         )
 
-    parts = common.stored(docs.select("doc_id", "text").mapInArrow(per_document, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, mixed double, kind int, word string, n long"))
+    doubles = ", ".join(f"{x} double" for x in names)
+    parts = common.stored(docs.select("doc_id", "text").mapInArrow(per_document, f"row long, doc_id long, held_out boolean, n_tokens long, word string, times long, {doubles}"))
 
     def weigh(batches):
-        """Rare words where they stand: (row, word, times, kind, own, c), sorted by word, to a sum for each row and batch."""
+        """Rare words where they stand: (row, word, times, counts), sorted by word, to sums for each row and batch."""
         lattices = model.lattices()
         for table in gathered(batches):
-            word, kind = table.column("word").combine_chunks().dictionary_encode(), table.column("kind").to_numpy()
-            pair, first, back = np.unique(word.indices.to_numpy() * len(lattices) + kind, return_index=True, return_inverse=True)
-            names, own, c = word.dictionary.to_pylist(), table.column("own").to_numpy()[first], table.column("c").to_numpy()
-            mixed = np.empty(len(pair))
-            for k, lattice in enumerate(lattices):
-                at = np.flatnonzero(pair % len(lattices) == k)
-                if len(at):
-                    mixed[at] = model.log10(k, own[at], c[first][at], lattice.log_probabilities([names[i] for i in pair[at] // len(lattices)]))
-            times = table.column("times").to_numpy()
+            word = table.column("word").combine_chunks().dictionary_encode()
+            place, first = np.unique(word.indices.to_numpy(), return_index=True)[1], word.indices.to_numpy()
+            own = np.column_stack([table.column(x).to_numpy()[place] for x in columns])
+            sums = model.sums(own, joint(lattices, word.dictionary.to_pylist()))[first] * table.column("times").to_numpy()[:, None]
             rows, place = np.unique(table.column("row").to_numpy(), return_inverse=True)
-            total = [np.bincount(place, x * times, len(rows)) for x in ((c > 0).astype(float), model.base(c), mixed[back])]
-            yield from pa.table([pa.array(rows), *map(pa.array, total)], names=["row", "known", "base", "mixed"]).to_batches(50_000)
-
-    rare = counts.drop("n")
-    if words:
-        rare = rare.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "word string")), "word", "left_anti")  # at most most_frequent words
-    met = parts.where("word is not null").select("row", "kind", "word", F.col("n").alias("times")).join(rare, "word")
-    met = met.select("row", "word", "times", "kind", F.get(F.array(*columns), F.col("kind")).alias("own"), "c")
-    sums = met.mapInArrow(weigh, "row long, known double, base double, mixed double").groupBy("row").agg(*(F.sum(x).alias(f"rare_{x}") for x in ("known", "base", "mixed")))
+            total = [np.bincount(place, x, len(rows)) for x in sums.T]
+            yield from pa.table([pa.array(rows), *map(pa.array, total)], names=["row", *names]).to_batches(50_000)
+
+    rare = counts.where(rank_of("n") < least).drop("n")
+    met = parts.where("word is not null").select("row", "word", "times").join(rare, "word").select("row", "word", "times", *columns)
+    sums = met.mapInArrow(weigh, f"row long, {doubles}").groupBy("row").agg(*(F.sum(x).alias(f"rare_{x}") for x in names))
     out = parts.where("word is null").join(sums, "row", "left")
     plus = lambda x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("mixed").alias("score"))
+    out = out.select("doc_id", "held_out", "n_tokens", *(plus(x).alias(x) for x in names))
+    each = [F.col(x) for x in names[2:]]
+    top = F.greatest(*each) if len(each) > 1 else each[0]
+    marginal = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in each), F.lit(0.0)))
+    return out.select("doc_id", "held_out", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), marginal.alias("score"))
 
 
 def op9_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,9 @@ def test_forward_sum_is_the_sum_over_segmentations(lattice):
         assert p == pytest.approx(enumerate_sum(lattice, w), abs=1e-9)
         assert p == pytest.approx(lattice.one(w), abs=1e-9)
     assert np.isfinite(lattice.log_probabilities(["z" * 3000])).all()
+    other = lattice.reweighed(np.exp(lattice.logp)[::-1], 0.2)
+    both = lm.joint([lattice, other], [*words, "z" * 100])
+    assert both[:-1, 0] == pytest.approx(got) and both[:, 1] == pytest.approx(other.log_probabilities([*words, "z" * 100]))
 
 
 def test_expected_uses_add_up(lattice):
@@ -89,9 +92,8 @@ def check(rows, frame):
 
 def test_scores(spark, sf_dir, nasty, nothing, docs):
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    few = check(lm.score(nasty, most_frequent=3, class_column=None).select(*columns).collect(), nasty)
-    many = check(lm.score(nasty, most_frequent=1000, class_column=None).select(*columns).collect(), nasty)
-    check(lm.score(nasty, most_frequent=20).select(*columns).collect(), nasty)
+    few = check(lm.score(nasty, most_frequent=3).select(*columns).collect(), nasty)
+    many = check(lm.score(nasty, most_frequent=1000).select(*columns).collect(), nasty)
     assert [g[6] for g in few] == pytest.approx([g[6] for g in many])  # where a word is scored doesn't matter
     assert lm.score(nothing).count() == 0
     check(lm.op9_subword_lattice(spark, sf_dir).select(*columns).collect(), docs)
@@ -104,6 +106,43 @@ def test_no_training_documents(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
 
 
+def test_the_marginal_against_its_definition(spark, lattice):
+    rng = np.random.default_rng(3)
+    vocabulary = ["the", "thlyou", "a", "é", "ouwhea", "zz"]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 3 :], 12)), ["en", "fr", None][i % 3]) for i in range(40)] + [(40, "neverseen the", "en"), (41, "", "xx")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_frequent=2, most_classes=3).collect()}
+    training = [(t.split(), c) for i, t, c in rows if common.fold(i) != 1]
+    classes = sorted({c for _, c in training}, key=lambda c: (-sum(x == c for _, x in training), c is not None, c or ""))[:3]
+    groups = [*([w for w, x in training if x == c] for c in classes), [w for w, _ in training]]
+    counts = [Counter(w for words in g for w in words) for g in groups]
+    seen = spark.createDataFrame([(w, *(c[w] for c in counts)) for w in counts[-1]], "word string, c0 long, c1 long, c2 long, c long")
+    model = lm.learn(seen, len(training), [len(g) for g in groups[:-1]], lm.default_path())
+    weighed, d = model.lattices(), model.discount
+    tokens, distinct = [sum(c.values()) + len(g) for c, g in zip(counts, groups)], [len(c) + 1 for c in counts]
+    share = lambda n, k: max(n - d, 0) / tokens[k]
+    spread = lambda n: max(n - d, 0) / (tokens[-1] - d * distinct[-1])
+    last = len(groups) - 1
+
+    def probability(k, own, c, subwords):
+        free = subwords if k == last else 0.9 * subwords + 0.1 * spread(c)
+        return share(own, k) + d * distinct[k] / tokens[k] * free
+
+    for i, text, _ in rows:
+        total = 0.0
+        for k, g in enumerate(groups):
+            p = 0.9 * len(g) / len(training) if k < last else 1 - 0.9 * sum(len(x) for x in groups[:-1]) / len(training)
+            for w in text.split():
+                p *= probability(k, counts[k][w], counts[-1][w], math.exp(enumerate_sum(weighed[k], w)))
+            total += p * probability(k, len(g), len(training), 0.0)
+        assert got[i] == pytest.approx(math.log10(total), rel=1e-6), i
+
+
+def test_threshold(spark):
+    counts = spark.createDataFrame([(w,) for w in (1, 1, 1, 2, 2, 3, 900, 1000, 5000)], "n long")
+    for most, want in ((0, 0), (1, 1), (2, 2), (4, 4), (5, 4), (6, 6), (9, 9), (100, 9)):
+        assert counts.where(lm.rank_of("n") >= lm.threshold(counts, most)).count() == want
+
+
 def test_the_model_is_a_distribution():
     # five words, one of them in class 0 only, and documents' ends; what the discount frees is the lattice's share
     tokens, seen, in_class = 1000, np.array([400, 300, 150, 90, 10]), np.array([0, 280, 0, 0, 10])
