@@ -8,15 +8,18 @@ partition.  The blocks' winners are merged by a ranking over at most k rows a bl
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part,
 nor do rows without a vec_id; a shorter vector lacks its further terms, which weigh 0;
-an empty vector scores 0 with everything; of several rows with one vec_id the one whose
-weights come first counts, once; equal scores go to smaller vec_ids; scores beyond 64
-bits are held at the limits, and ranked so; an empty table gives an empty result.
+an empty vector scores 0 with everything; rows that repeat a vec_id are candidates each,
+and a query row isn't matched with any row of its own vec_id; query rows that repeat a
+vec_id are one query, whose best pairs of all its rows are ranked together; equal scores
+go to smaller vec_ids; scores beyond 64 bits are held at the limits, and ranked so; other
+columns, names like ``score`` included, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,12 +31,11 @@ EDGE = 2**62
 
 
 def weights(table: pa.Table, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ascending distinct vec_ids and their quantised vectors (float64, whole numbers)."""
-    ids = table.column("vec_id").to_numpy()
-    vectors = [np.floor(scale * np.asarray(v, dtype=np.float64)) for v in table.column("embedding").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], vectors[i].tolist()))
-    order = [i for at, i in enumerate(order) if not at or ids[i] != ids[order[at - 1]]]
-    return ids[order].astype(np.int64), [vectors[i] for i in order]
+    """Ascending vec_ids and their quantised vectors (float64, whole numbers)."""
+    ids, column = table.column("vec_id").to_numpy().astype(np.int64), table.column("embedding").combine_chunks()
+    flat, ends = np.floor(scale * np.asarray(column.flatten(), dtype=np.float64)), np.cumsum([0, *pc.list_value_length(column).to_pylist()])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], [flat[ends[i] : ends[i + 1]] for i in order]
 
 
 def matrix(vectors: list[np.ndarray], width: int, kind: type) -> np.ndarray:
@@ -44,7 +46,7 @@ def matrix(vectors: list[np.ndarray], width: int, kind: type) -> np.ndarray:
 
 
 def best(q_ids, q_vectors, c_ids, c_vectors, k: int, step: int = 32):
-    """(query_id, vec_id, score) of the ``k`` best candidates of each query, ties to smaller vec_ids; ids ascend."""
+    """Arrays of query_id, vec_id and score of the ``k`` best candidates of each query row, ties to smaller vec_ids; ids ascend."""
     if not len(q_ids) or not len(c_ids):
         return
     width = max(map(len, [*q_vectors, *c_vectors]))
@@ -64,20 +66,23 @@ def best(q_ids, q_vectors, c_ids, c_vectors, k: int, step: int = 32):
                 score += part[:, t, None] * weight
             elif len(rows):
                 score[np.ix_(rows, at)] += part[rows, t, None] * weight
-        own = np.searchsorted(c_ids, q_ids[start : start + step])
-        for i, query in enumerate(q_ids[start : start + step]):
-            if kind is object:
-                score[i] = [max(-(2**63), min(2**63 - 1, x)) for x in score[i]]
-            key = score[i].astype(object if kind is object else np.int64) * n + place  # distinct, in the order wanted
-            is_own = own[i] < n and c_ids[own[i]] == query
-            found = np.argpartition(key, n - k - 1)[n - k - 1 :] if n > k + 1 else np.arange(n)
-            found = sorted((j for j in found if not (is_own and j == own[i])), key=lambda j: -key[j])[:k]
-            for j in found:
-                yield int(query), int(c_ids[j]), int(score[i, j])
-
-
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, query_block: int = 16_384, candidate_block: int = 4_096) -> DataFrame:
+        if kind is object:
+            score = np.array([[max(-(2**63), min(2**63 - 1, x)) for x in row] for row in score], dtype=object).reshape(score.shape)
+        key = score.astype(object if kind is object else np.int64) * n + place  # distinct in a row, in the order wanted
+        ids = q_ids[start : start + step]
+        for i, (low, high) in enumerate(zip(np.searchsorted(c_ids, ids), np.searchsorted(c_ids, ids, "right"))):
+            key[i, low:high] = -(2**80) if kind is object else np.iinfo(np.int64).min
+        found = np.argpartition(key, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), key.shape)
+        found = np.take_along_axis(found, np.argsort(-np.take_along_axis(key, found, 1) if kind is object else ~np.take_along_axis(key, found, 1), axis=1), 1)
+        rows = np.repeat(np.arange(len(ids)), found.shape[1])
+        found = found.ravel()
+        good = c_ids[found] != ids[rows]
+        yield ids[rows[good]], c_ids[found[good]], score[rows[good], found[good]]
+
+
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, query_block: int = 16_384, candidate_block: int = 2_048) -> DataFrame:
     """The ``k`` best candidates of ``vectors(vec_id, embedding)`` for each row of ``queries``, its own vec_id aside."""
+    common.visible(vectors.sparkSession)
 
     def usable(df: DataFrame) -> DataFrame:
         bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -93,8 +98,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 2
     c = usable(vectors).select("*", mine(c_blocks).alias("cb"), every(q_blocks).alias("qb"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [*best(*weights(left, scale), *weights(right, scale), k)]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))], schema=OUT)
+        steps = [*best(*weights(left, scale), *weights(right, scale), k)]
+        return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if steps else [], pa.int64()) for x in (zip(*steps) if steps else ((), (), ()))], schema=OUT)
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from pagegraph.llm import topk
@@ -12,14 +13,11 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score long, rank int"
 
 
 def brute(rows, queries, k, scale=256):
-    vectors = {}
-    for i, v in sorted(((i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)), key=str):
-        vectors.setdefault(i, []).append(v)
-    vectors = {i: min(vs) for i, vs in vectors.items()}
+    vectors = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     out = []
-    for q in sorted(set(queries) & set(vectors)):
-        scored = sorted((-clip(sum(a * b for a, b in zip(vectors[q], v))), i) for i, v in vectors.items() if i != q)
+    for q in sorted(set(queries) & {i for i, _ in vectors}):
+        scored = sorted((-clip(sum(a * b for a, b in zip(own, v))), i) for j, own in vectors if j == q for i, v in vectors if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
 
@@ -37,6 +35,15 @@ def test_against_brute_force(spark, blocks):
     assert sorted(map(tuple, got)) == brute(rows, [i for i, _ in rows if i is not None and i % 3 == 0], 5)
 
 
+def test_repeated_ids_against_the_oracle(spark):
+    rng = random.Random(5)
+    rows = [(i // 2, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)] + [(50, [0.5] * 4)] * 3
+    frame = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], SCHEMA)
+    con, embeddings = duckdb.connect(), frame.select("vec_id", "embedding").toArrow()  # noqa: F841  read by name
+    got = topk.search(frame, frame.where("vec_id % 50 = 0"), candidate_block=7)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(topk.ORACLE).select(*got.columns).fetchall())
+
+
 def test_huge_weights_and_few_rows(spark):
     rows = [(0, [1e30, 1.0]), (1, [-1e30, 2.0]), (2, [1e9, 1e9])]
     frame = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], SCHEMA)
