@@ -13,10 +13,19 @@ from .ingest import packed
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes(id, title, is_redirect)`` and ``edges(src, dst)``; titles compare by their UTF-8 bytes."""
+    """``nodes(id, title, is_redirect)`` and ``edges(src, dst)``; titles compare by their UTF-8 bytes.
+
+    ``edges_in`` may hold the same edges again in the order of ``dst``, for searches against
+    their direction.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    edges_in: DataFrame | None = None
+
+    @property
+    def incoming(self) -> DataFrame:
+        return self.edges if self.edges_in is None else self.edges_in
 
     # titles
     def by_title(self, title: str) -> DataFrame:
@@ -45,10 +54,11 @@ class Graph:
         return ids.select(F.col("id").alias("src")).join(self.edges, "src").select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
 
     def in_neighbors(self, ids: DataFrame) -> DataFrame:
-        return ids.select(F.col("id").alias("dst")).join(self.edges, "dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"))
+        return ids.select(F.col("id").alias("dst")).join(self.incoming, "dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"))
 
     def reversed(self) -> Graph:
-        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        turned = lambda edges: edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return Graph(self.nodes, turned(self.incoming), turned(self.edges))
 
     def out_degrees(self) -> DataFrame:
         return self._degrees("src")
@@ -57,7 +67,7 @@ class Graph:
         return self._degrees("dst")
 
     def _degrees(self, end: str) -> DataFrame:
-        counted = self.edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("degree"))
+        counted = (self.edges if end == "src" else self.incoming).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("degree"))
         return self.nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
     def csr_offsets(self, *, bucket_size: int = 65_536) -> DataFrame:

@@ -15,17 +15,25 @@ from ..lineage import checkpoint
 from .ranking import dense_index
 
 
+def main_rows(dump: DataFrame, namespace: int = 0) -> DataFrame:
+    """(page_no, title, text) of the main namespace."""
+    return dump.where(F.col("ns") == namespace).select("page_no", "title", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def main_pages(dump: DataFrame, namespace: int = 0) -> DataFrame:
-    """(id, title, text) of the main namespace, ids dense in dump order."""
-    pages = dump.where(F.col("ns") == namespace).select("page_no", "title", F.coalesce("text", F.lit("")).alias("text"))
-    return dense_index(pages, "page_no", "id").select("id", "title", "text")
+    """(id, title, text) of the main namespace, ids dense in dump order; only numbers are ranked, so where the text isn't asked for it isn't moved."""
+    pages = main_rows(dump, namespace)
+    return pages.join(dense_index(pages.select("page_no"), "page_no", "id"), "page_no").select("id", "title", "text")
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(id, title, is_redirect, target, link_titles): a redirect has a target, an article its distinct link titles."""
+    """(page_no or id, title, is_redirect, target, link_titles): a redirect has a target, an article its distinct link titles.
+
+    A narrow pass: what numbers or joins pages comes after it and never moves a text.
+    """
     redirect = wikitext.is_redirect(F.col("text"))
     return pages.select(
-        "id",
+        *(c for c in ("page_no", "id") if c in pages.columns),
         "title",
         redirect.alias("is_redirect"),
         wikitext.redirect_target(F.col("text")).alias("target"),
@@ -33,6 +41,11 @@ def parse(pages: DataFrame) -> DataFrame:
     )
 
 
+def numbered(parsed: DataFrame) -> DataFrame:
+    """``parse`` of dump rows with dense ids in dump order for their page_no."""
+    return dense_index(parsed, "page_no", "id").select("id", "title", "is_redirect", "target", "link_titles")
+
+
 def page_links(parsed: DataFrame) -> DataFrame:
     """(id, link) of every article, also of pages that a later one replaces."""
     return parsed.select("id", F.explode("link_titles").alias("link"))

@@ -5,6 +5,9 @@ has fewer nodes, for all requests still open at once; the first round in which t
 meet gives the length.  Then the nodes on shortest routes are marked from the meeting
 nodes outwards, and the route takes the smallest id at each step.  Levels are
 checkpointed, so the plan of a round holds one expansion only.
+
+Searches that touch at most ``near`` nodes and links are done on the driver, a job a round;
+larger ones start anew, or go on, distributed.  The results are the same.
 """
 
 from __future__ import annotations
@@ -15,13 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import checkpoint
+from . import nearby
 from .graph import Graph
 
+NEAR = 200_000
+
 
-def bfs_levels(graph: Graph, starts: DataFrame, *, most_levels: int | None = None) -> DataFrame:
+def bfs_levels(graph: Graph, starts: DataFrame, *, most_levels: int | None = None, near: int = NEAR) -> DataFrame:
     """(id, depth) of every node that ``starts(id)`` reach."""
-    frontier = checkpoint(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
+    spark = graph.edges.sparkSession
+    try:
+        found, ahead, depth = nearby.levels(graph, starts, near, most_levels)
+        seen = spark.createDataFrame(list(found.items()), "id long, depth int")
+        if not ahead or depth == most_levels:
+            return seen
+        frontier = seen.where(F.col("depth") == depth)
+    except nearby.TooLarge:
+        frontier = checkpoint(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+        seen, depth = frontier, 0
     while most_levels is None or depth < most_levels:
         depth += 1
         reached = frontier.select(F.col("id").alias("src")).join(graph.edges, "src").select(F.col("dst").alias("id")).distinct()
@@ -71,11 +85,24 @@ class _Side:
         return out[::-1]
 
 
-def search(graph: Graph, pairs: DataFrame, *, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def _tables(graph: Graph, kind: str, routes: dict) -> tuple[DataFrame, DataFrame]:
+    spark = graph.edges.sparkSession
+    hops = spark.createDataFrame([(q, len(r) - 1) for q, r in routes.items()], f"query_id {kind}, hops int")
+    return hops, spark.createDataFrame([(q, step, i) for q, r in routes.items() for step, i in enumerate(r)], f"query_id {kind}, step int, id long")
+
+
+def search(graph: Graph, pairs: DataFrame, *, most_rounds: int = 10_000, near: int = NEAR, most_near_pairs: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """For ``pairs(query_id, start_id, end_id)``: (query_id, hops), and the routes (query_id, step, id); unreachable ends are in neither."""
-    pairs = checkpoint(pairs.select("query_id", "start_id", "end_id"))
+    pairs = pairs.select("query_id", "start_id", "end_id")
+    few = pairs.limit(most_near_pairs + 1).collect() if near else []
+    if near and len(few) <= most_near_pairs:
+        try:
+            return _tables(graph, pairs.schema["query_id"].dataType.simpleString(), nearby.routes(graph, [tuple(r) for r in few], near))
+        except nearby.TooLarge:
+            pass
+    pairs = checkpoint(pairs)
     ahead = _Side(checkpoint(pairs.select("query_id", F.col("start_id").alias("node"))), graph.edges.select(F.col("src").alias("node"), F.col("dst").alias("to")))
-    behind = _Side(checkpoint(pairs.select("query_id", F.col("end_id").alias("node"))), graph.edges.select(F.col("dst").alias("node"), F.col("src").alias("to")))
+    behind = _Side(checkpoint(pairs.select("query_id", F.col("end_id").alias("node"))), graph.incoming.select(F.col("dst").alias("node"), F.col("src").alias("to")))
     met = checkpoint(ahead.levels[0].join(behind.levels[0], ["query_id", "node"]).select("query_id", "node", F.lit(0).alias("ahead"), F.lit(0).alias("behind")))
     open_ = checkpoint(pairs.select("query_id").join(met, "query_id", "left_anti"))
     for _ in range(most_rounds):
@@ -127,8 +154,8 @@ class RouteError(LookupError):
 
 def route(graph: Graph, start: str, end: str) -> DataFrame:
     """The steps (step, id, title) of a shortest route, empty if there is none; RouteError if a title has no page."""
-    asked = resolve(graph, graph.nodes.sparkSession.createDataFrame([(0, start, end)], "query_id int, start string, end string")).first()
-    if asked.status != "ok":
-        raise RouteError(start, end, asked.start_id is None, asked.end_id is None)
-    pair = graph.nodes.sparkSession.createDataFrame([(0, asked.start_id, asked.end_id)], "query_id int, start_id long, end_id long")
+    ids = {r.title: r.id for r in graph.nodes.where(F.col("title").isin(start, end)).select("title", "id").collect()}
+    if start not in ids or end not in ids:
+        raise RouteError(start, end, start not in ids, end not in ids)
+    pair = graph.nodes.sparkSession.createDataFrame([(0, ids[start], ids[end])], "query_id int, start_id long, end_id long")
     return search(graph, pair)[1].select("step", "id").join(graph.nodes.select("id", "title"), "id").select("step", "id", "title")

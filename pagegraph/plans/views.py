@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..lineage import stored
 from ..operators import ingest
 from ..operators.graph import Graph
-from ..sources.tables import commerce_dump
+from ..sources.store import in_order, out_order
+from ..sources.tables import TABLES, commerce_dump
 
 
 @dataclass(frozen=True)
@@ -23,17 +24,25 @@ class Views:
     graph: Graph
 
 
-_built: dict[tuple[str, str], Views] = {}
+_built: dict[tuple, Views] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application, the folder, and when its tables were written: a changed table builds the graph anew."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet") for name in TABLES]
+    found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return (spark.sparkContext.applicationId, sf_dir, *((s.getModificationTime(), s.getLen()) for s in found))
 
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
     """Every stage of the ingest as a stored table, as a conversion leaves it for later queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _state(spark, sf_dir)
     if key not in _built:
         dump = stored(commerce_dump(spark, sf_dir))
-        pages = ingest.main_pages(dump)
-        parsed = stored(ingest.parse(pages))
+        parsed = stored(ingest.numbered(ingest.parse(ingest.main_rows(dump))))
         latest, universe = ingest.last_wins(parsed), ingest.title_universe(parsed)
         live = stored(ingest.clean(latest, universe))
-        _built[key] = Views(dump, pages, parsed, latest, universe, live, Graph(ingest.nodes_of(live), stored(ingest.edges_of(live))))
+        edges = stored(out_order(ingest.edges_of(live)))
+        _built[key] = Views(dump, ingest.main_pages(dump), parsed, latest, universe, live, Graph(ingest.nodes_of(live), edges, stored(in_order(edges))))
     return _built[key]

@@ -31,15 +31,18 @@ def xml_dump(spark: SparkSession, path: str, *, index: str = "auto") -> DataFram
     if index != "none" and path.endswith(".bz2"):
         check_index(spark, path, sidecar_index(path) if index == "auto" else index, asked=index != "auto")
     lines = spark.read.option("lineSep", "</page>").text(path)
-    lines = lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     start = F.locate("<page>", "value")
-    pages = lines.where(start > 0).withColumn("xml", F.concat(F.col("value").substr(start, F.length("value")), F.lit("</page>")))
-    pages = pages.select("file_path", "file_block_start", "at", F.from_xml("xml", PAGE, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}).alias("page"))
+    pages = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").where(start > 0)
+    # a task numbers its rows without a gap, a split's rows one after another
+    pages = pages.withColumn("at", F.monotonically_increasing_id())
     split = ["file_path", "file_block_start"]
-    sizes = pages.groupBy(*split).agg(F.count("*").alias("n"))
-    sizes = sizes.select(*split, F.coalesce(F.sum("n").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a split
-    pages = pages.withColumn("inside", F.row_number().over(W.partitionBy(*split).orderBy("at"))).join(sizes, split)
-    return pages.select((F.col("before") + F.col("inside") - 1).alias("page_no"), "page.ns", "page.title", F.coalesce("page.revision.text", F.lit("")).alias("text"))
+    sizes = pages.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    sizes = sizes.select(*split, "first", F.coalesce(F.sum("n").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # a row of some 100 bytes for each split of the input, so broadcast: no text is moved
+    pages = pages.join(F.broadcast(sizes), split)
+    page = F.from_xml(F.concat(F.col("value").substr(start, F.length("value")), F.lit("</page>")), PAGE, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"})
+    pages = pages.select((F.col("before") + F.col("at") - F.col("first")).alias("page_no"), page.alias("page"))
+    return pages.select("page_no", "page.ns", "page.title", F.coalesce("page.revision.text", F.lit("")).alias("text"))
 
 
 def sidecar_index(path: str) -> str:

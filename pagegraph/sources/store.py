@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +14,39 @@ from . import dump, legacy
 
 def graph_of(pages: DataFrame, **cleanup) -> Graph:
     """The packed graph of dump rows (page_no, ns, title, text)."""
-    parsed = stored(ingest.parse(ingest.main_pages(pages)))
+    parsed = stored(ingest.numbered(ingest.parse(ingest.main_rows(pages))))
     live = stored(ingest.clean(ingest.last_wins(parsed), ingest.title_universe(parsed), **cleanup))
     return Graph(ingest.nodes_of(live), ingest.edges_of(live))
 
 
+def out_order(edges: DataFrame) -> DataFrame:
+    return edges.repartitionByRange("src").sortWithinPartitions("src", "dst")
+
+
+def in_order(edges: DataFrame) -> DataFrame:
+    return edges.repartitionByRange("dst").sortWithinPartitions("dst", "src")
+
+
+#: The folder that is written last: a graph without it isn't whole.
+WHOLE = "whole"
+
+
 def save_parquet(graph: Graph, path: str) -> None:
     """Nodes sorted by title and edges by either end, so that lookups skip row groups; refuses to overwrite."""
     check(graph)
     graph.nodes.sort("title").write.mode("errorifexists").parquet(f"{path}/nodes")
-    graph.edges.repartitionByRange("src").sortWithinPartitions("src", "dst").write.mode("errorifexists").parquet(f"{path}/edges_out")
-    graph.edges.repartitionByRange("dst").sortWithinPartitions("dst", "src").write.mode("errorifexists").parquet(f"{path}/edges_in")
+    out_order(graph.edges).write.mode("errorifexists").parquet(f"{path}/edges_out")
+    in_order(graph.edges).write.mode("errorifexists").parquet(f"{path}/edges_in")
+    graph.nodes.sparkSession.range(1).coalesce(1).write.mode("errorifexists").parquet(f"{path}/{WHOLE}")
 
 
 def load_parquet(spark: SparkSession, path: str) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges_out"))
+    """The graph under ``path``; ValueError if its writer didn't come to the end."""
+    try:
+        spark.read.parquet(f"{path}/{WHOLE}")
+    except AnalysisException as error:
+        raise ValueError(f"{path} holds no whole graph") from error
+    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges_out"), spark.read.parquet(f"{path}/edges_in"))
 
 
 def check(graph: Graph) -> None:

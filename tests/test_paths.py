@@ -72,3 +72,16 @@ def test_unknown_titles_are_an_error(spark):
 def test_statistics_of_one_value(spark):
     row = series_statistics(spark.createDataFrame([(2.5,)], "v double"), "v").first()
     assert (row.n, row.mean, row.stddev) == (1, 2.5, 0.0)
+
+
+def test_distributed_search_gives_the_same(spark):
+    rng = random.Random(4)
+    edges = {(rng.randrange(50), rng.randrange(50)) for _ in range(90)}
+    graph = graph_from(spark, 50, edges)
+    pairs = spark.createDataFrame([(q, rng.randrange(50), rng.randrange(50)) for q in range(12)], "query_id int, start_id long, end_id long")
+    tables = [[sorted(map(tuple, t.collect())) for t in paths.search(graph, pairs, near=near)] for near in (0, 5, 1_000_000)]
+    assert tables[0] == tables[1] == tables[2]
+    start = spark.createDataFrame([(0,)], "id long")
+    for near in (0, 3, 20, 60):
+        assert {r.id: r.depth for r in paths.bfs_levels(graph, start, near=near).collect()} == distances(50, edges, 0)
+    assert {r.id for r in paths.bfs_levels(graph, start, most_levels=1, near=20).collect()} == {i for i, d in distances(50, edges, 0).items() if d <= 1}
