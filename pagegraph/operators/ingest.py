@@ -62,6 +62,16 @@ def title_universe(parsed: DataFrame) -> DataFrame:
     return parsed.select("title").unionByName(page_links(parsed).select(F.col("link").alias("title"))).distinct()
 
 
+def java_hash_rank(title: Column) -> Column:
+    """A rank for ``dropped_redirects``: the 32-bit polynomial hash of the title's UTF-16 units, base 31, and the title where hashes are equal."""
+    units = F.encode(title, "UTF-16BE")
+    unit = lambda i: F.conv(F.hex(F.substring(units, (2 * i + 1).cast("int"), F.lit(2))), 16, 10).cast("long")
+    count = F.floor(F.octet_length(units) / 2)
+    places = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    hashed = F.aggregate(places, F.lit(0).cast("long"), lambda h, i: F.pmod(h * 31 + unit(i), F.lit(1 << 32)))
+    return F.struct(F.when(hashed >= 1 << 31, hashed - (1 << 32)).otherwise(hashed).alias("hash"), title.alias("title"))
+
+
 def dropped_redirects(live: DataFrame, universe: DataFrame, rank: Column | None = None) -> DataFrame:
     """(id) of the redirects that cleanup removes.
 

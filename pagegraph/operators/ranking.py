@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import stored
+
 
 def dense_index(df: DataFrame, key: str, name: str, *, bucket_size: int = 65_536) -> DataFrame:
     """Adds ``name``, the row's number from 0 in the order of the distinct longs in ``key``.
@@ -18,3 +20,13 @@ def dense_index(df: DataFrame, key: str, name: str, *, bucket_size: int = 65_536
     sizes = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = rows.withColumn("_inside", F.row_number().over(W.partitionBy("_bucket").orderBy(key)))
     return inside.join(sizes, "_bucket").withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_bucket", "_before", "_inside")
+
+
+def positions(ordered: DataFrame, name: str = "rank") -> DataFrame:
+    """Adds ``name``, each row's place from 0 in the order that ``ordered`` has; rows are stored once, so that they are counted as they are placed."""
+    rows = stored(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_task", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_task").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a task
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(sizes), "_task").withColumn(name, F.col("_before") + inside).drop("_at", "_task", "_before")

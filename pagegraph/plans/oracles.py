@@ -25,6 +25,10 @@ hop AS (
 ),
 walk AS (SELECT id, id AS cur FROM hop UNION SELECT w.id, h.next FROM walk w JOIN hop h ON w.cur = h.id WHERE h.ended IS NULL),
 gone AS (SELECT w.id FROM walk w JOIN hop h ON w.cur = h.id GROUP BY w.id HAVING count(*) FILTER (WHERE h.ended = 'ok') = 0 AND min(h.id) = w.id),
+hashed AS (
+  SELECT id, title, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash
+  FROM (SELECT id, title, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(title, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM latest WHERE is_redirect)
+),
 live AS (SELECT * FROM latest WHERE id NOT IN (SELECT id FROM gone)),
 edges AS (
   SELECT l.id AS src, t.id AS dst FROM plink l JOIN live a ON a.id = l.id JOIN live t ON t.title = l.link
@@ -85,8 +89,8 @@ _over_chain = {
     "avg_links": "SELECT round(links / articles, 6) AS avg_links FROM (" + STATS.format(t="live") + ")",
     "forward_edges": "SELECT src, dst FROM edges",
     "reverse_edges": "SELECT dst AS src, src AS dst FROM edges",
-    "out_neighbors": "SELECT n.id, e.dst AS neighbor FROM live n JOIN edges e ON e.src = n.id WHERE n.is_redirect",
-    "in_neighbors": "SELECT n.id, e.src AS neighbor FROM live n JOIN edges e ON e.dst = n.id WHERE n.is_redirect",
+    "out_neighbors": "SELECT n.id, e.dst AS neighbor FROM live n JOIN edges e ON e.src = n.id",
+    "in_neighbors": "SELECT n.id, e.src AS neighbor FROM live n JOIN edges e ON e.dst = n.id",
     "out_degree": "SELECT id, degree FROM degree_out",
     "in_degree": "SELECT n.id, count(e.dst) AS degree FROM live n LEFT JOIN edges e ON e.dst = n.id GROUP BY n.id",
     "csr_offsets": "SELECT id, degree, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS start FROM degree_out",
@@ -102,13 +106,16 @@ _over_chain = {
     "is_redirect": "SELECT id, is_redirect FROM live",
     "title_prefix_top10": "SELECT title FROM live WHERE starts_with(title, 'Part 1') ORDER BY title LIMIT 10",
     "title_prefix_empty": "SELECT title FROM live ORDER BY title LIMIT 10",
-    "sort_by_title": "SELECT title, lag(title) OVER (ORDER BY title) AS previous FROM live",
-    "sort_by_id": "SELECT id, title FROM live",
+    "sort_by_title": "SELECT title, row_number() OVER (ORDER BY title) - 1 AS rank FROM live",
+    "sort_by_id": "SELECT id, title, row_number() OVER (ORDER BY id) - 1 AS rank FROM live",
     "page_string": "SELECT id, '\"' || title || '\" (#' || id || '), ' || n_links || ' links' AS text FROM (" + PAGES + ")",
     "record_size": "SELECT id, CAST(16 + 4 * n_links + strlen(title) AS BIGINT) AS bytes FROM (" + PAGES + ")",
     "title_bytes": "SELECT id, CAST(strlen(title) AS INTEGER) AS bytes FROM live",
-    "storage_roundtrip": "SELECT id, title, is_redirect, n_links FROM (" + PAGES + ")",
-    "xml_roundtrip": "SELECT page_no, ns, title, CAST(length(text) AS INTEGER) AS chars FROM cw",
+    **dict.fromkeys(("storage_roundtrip", "buffer_roundtrip", "segment_roundtrip"), "SELECT id, title, is_redirect, md5(links) AS links_md5 FROM (" + PAGES + ")"),
+    "xml_roundtrip": "SELECT page_no, ns, title, CAST(length(text) AS INTEGER) AS chars, true AS same FROM cw",
+    "redirect_cleanup_by_hash": """SELECT id, title FROM latest WHERE id IN (
+        SELECT w.id FROM walk w JOIN hop h ON w.cur = h.id JOIN hashed k ON k.id = h.id JOIN hashed m ON m.id = w.id
+        GROUP BY w.id, m.hash, m.title HAVING count(*) FILTER (WHERE h.ended = 'ok') = 0 AND min((k.hash, k.title)) = (m.hash, m.title))""",
 }
 
 ORACLES: dict[str, str] = {name: CHAIN + sql for name, sql in _over_chain.items()} | {

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import visible
 from ..operators.graph import Graph
 
 # Fixed values of the formats.
@@ -55,6 +56,7 @@ def _read(spark: SparkSession, path: str, parse) -> DataFrame:
             for content in batch.column(0):
                 yield from _batches(parse(content.as_buffer()))
 
+    visible(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PAGE)
 
 
@@ -125,6 +127,8 @@ def write_buffer(graph: Graph, path: str) -> None:
                 raise ValueError(f"page {page.id} is too large for the format")
             head = BUFFER_RECORD.size
             f.write(BUFFER_RECORD.pack(-page.id if page.is_redirect else page.id, len(page.links), head, len(title), head + len(links)) + links + title)
+        f.flush()
+        os.fsync(f.fileno())
 
 
 def write_segment(graph: Graph, path: str) -> None:

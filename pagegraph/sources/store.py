@@ -69,6 +69,12 @@ def load(spark: SparkSession, path: str, kind: str, *, index: str = "auto") -> G
     return readers[kind.lower()]()
 
 
+def unpacked(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a binary file."""
+    graph = load(spark, path, kind)
+    return graph.nodes, graph.edges
+
+
 def save(graph: Graph, path: str, kind: str) -> None:
     writers = {"parquet": save_parquet, "buffer": legacy.write_buffer, "segment": legacy.write_segment}
     if kind.lower() not in writers:

@@ -3,8 +3,12 @@
 import duckdb
 import pytest
 
+from pagegraph import golden
+from pagegraph.operators import ingest
 from pagegraph.plans.oracles import ORACLES
 from pagegraph.plans.queries import QUERIES
+from pagegraph.plans.views import views
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,6 +42,33 @@ def test_queries_without_oracle(spark, sf_dir):
         assert own.start.iloc[0] == 0 and own.start.tolist()[1:] == own.stop.tolist()[:-1]
 
 
+def test_golden_lengths(spark, sf_dir):
+    assert len(golden.PAIRS) == 50 and sum(n == 0 for *_, n in golden.PAIRS) == 23
+    pairs = [("AFRICA", "Part 7", 4), ("AFRICA", "nobody", 0), ("ASIA", "ASIA", 1), ("ASIA", "AFRICA", 9)]
+    got = {r.query_id: r for r in golden.check(views(spark, sf_dir).graph, pairs).collect()}
+    assert [got[i].ok for i in range(4)] == [True, True, True, False]
+
+
+def test_hash_rank(spark):
+    def hashed(title):
+        h = 0
+        units = title.encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[i : i + 2], "big")) & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    titles = ["", "a", "Foo redirect", "Ἐπίδαυρος", "🙂x", "polygenelubricants"]
+    frame = spark.createDataFrame([(t,) for t in titles], "title string").select("title", ingest.java_hash_rank(F.col("title")).alias("r"))
+    assert {r.title: r.r.hash for r in frame.collect()} == {t: hashed(t) for t in titles}
+
+
+def test_no_text_is_moved(spark, sf_dir):
+    for name in ("dump_main_pages", "xml_roundtrip"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            assert not ("Exchange" in line and "text#" in line and "md5" not in line), line
+
+
 def test_entry(spark):
     import __spark_entry__
 

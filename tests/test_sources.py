@@ -125,7 +125,7 @@ def test_prompt(graph):
             raise EOFError from None
 
     cli.interactive(graph, read, said.append)
-    assert said[1] == 'Wildcards: "b_%"' and said[2] == 'No page with name "nobody"'
+    assert said[1] == 'Wildcards: "b_%"' and said[2] == '"nobody" is no title of this graph'
     assert said[3].startswith("Route: No route found") is True
     assert cli.answer(graph, "<")[0] in {"ąb", "b_%", "Z"}
 
