@@ -2,6 +2,15 @@
 
 Each stage is a function of (spark, docs, sf_dir).  All but the last return documents
 with the columns they got; their decisions take effect in what they return.
+
+Edge cases, for all stages: further columns pass through, whatever their names (the last
+stage returns pieces alone); texts are worked on whole, however long; an empty table gives
+an empty result.  Rows with a null or empty text are clean, hold no lines to drop and are
+linked with nothing, so they stay and are packed as their closing id.  Rows with a null
+doc_id are scored, come last where lines are compared, are linked with nothing and are
+packed.  Rows that repeat a doc_id are scored each, share line decisions by line number
+(equal copies of one row keep theirs), and leave one row in the Jaccard stage.  Ties go to
+the smaller doc_id and line number.
 """
 
 from __future__ import annotations
@@ -18,19 +27,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one word's edit of an earlier line go, and documents of which nothing is left."""
-    common.visible(spark)
     return lines.without_repeats(docs)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles one stays."""
-    common.visible(spark)
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become pieces placed in sequences of 2048 tokens."""
-    common.visible(spark)
     return packing.pack(docs)
 
 

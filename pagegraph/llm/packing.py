@@ -13,7 +13,10 @@ all pieces of a run of ranks within their length into a run of bins.  A piece fi
 and offset by its rank, so no task holds the pieces and no underfull bin is final before.
 
 Edge cases: a null or empty text is a document of the one closing id; repeated rows
-are packed once each; an empty table gives an empty result; a null doc_id is kept.
+are packed once each; pieces that tie in length go in the order they are met, which changes
+places but not the number of sequences of the last round; texts of any length are cut into
+pieces; columns other than doc_id and text are left out, whatever their names; an empty
+table gives an empty result; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -141,6 +144,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, vocab_path:
 
     ``ids_crc32`` is the crc32 of the piece's ids, unsigned 32-bit little-endian.
     """
+    common.visible(docs.sparkSession)
     full_from, end = int(capacity * full_share), end_id.to_bytes(4, "little")
 
     def local(batches):

@@ -101,3 +101,12 @@ def test_placing_a_histogram_is_best_fit():
         n_bins, steps = packing.place(counts, capacity)
         assert n_bins == len(packing.best_fit([(s, [None]) for s, n in counts.items() for _ in range(n)], capacity))
         assert min(counts.values()) > 0 and all(o + e * s <= capacity for s, _, e, _, o in steps)
+
+
+def test_tasks_and_carry_hardly_change_the_number_of_sequences(docs):
+    found = []
+    for tasks, carry in ((1, 2_048), (24, 2_048), (24, 16)):
+        rows = packing.pack(docs.repartition(tasks), carry=carry).collect()
+        least = -(-sum(r.length for r in rows) // 2048)
+        found.append((len({r.sequence_id for r in rows}), least))
+    assert all(n <= 1.01 * least + 1 for n, least in found), found

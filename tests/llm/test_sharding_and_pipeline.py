@@ -57,3 +57,19 @@ def test_stages_and_run(spark, sf_dir, docs, tmp_path):
     assert {r.doc_id for r in after.collect()} == want and after.exceptAll(before).isEmpty()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(key, seen["best-fit packing"][1].collect()))
+
+
+def test_stages_on_odd_rows_and_on_none(spark, sf_dir, nasty, nothing):
+    pieces = {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    for frame in (nasty, nothing):
+        rows = Counter(tuple(r) for r in frame.collect())
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, sf_dir)
+            got = out.collect()
+            if name == "best-fit packing":
+                assert set(out.columns) == pieces and sum(r.piece == 0 for r in got) == sum(rows.values())
+                continue
+            assert out.columns == frame.columns and len(got) <= sum(rows.values())
+            assert sum(r.text is None for r in got) == sum(n for r, n in rows.items() if r[1] is None)
+            if name != "line dedup":
+                assert not Counter(map(tuple, got)) - rows
