@@ -7,6 +7,8 @@ links alike; ``TooLarge`` hands the search back to the distributed operators.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ class Links:
                 self.known[i].sort()
         return {i: self.known[i] for i in nodes}
 
+    def has(self, node: int, to: int) -> bool:
+        own = self.known[node]
+        at = bisect_left(own, to)
+        return at < len(own) and own[at] == to
+
 
 def levels(graph: Graph, starts: DataFrame, most: int, most_levels: int | None) -> tuple[dict[int, int], set[int], int]:
     """Depths of the nodes that ``starts(id)`` reach, the last frontier and its depth, as far as ``most`` allows; an empty frontier ends the search."""
@@ -102,7 +109,7 @@ class _Search:
         for on_route in reversed(marked):
             route.append(min(on_route.intersection(out.known[route[-1]])))
         for level in self.behind[-2::-1]:
-            route.append(min(i for i in level if route[-1] in back.known[i]))
+            route.append(min(i for i in level if back.has(i, route[-1])))
         return route
 
 

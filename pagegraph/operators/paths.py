@@ -21,7 +21,7 @@ from ..lineage import checkpoint
 from . import nearby
 from .graph import Graph
 
-NEAR = 200_000
+NEAR = 2_000_000  # some 300 MB of Python objects on the driver at most
 
 
 def bfs_levels(graph: Graph, starts: DataFrame, *, most_levels: int | None = None, near: int = NEAR) -> DataFrame:
