@@ -6,8 +6,9 @@ sorted words).  A transition knows how many words are left of it, so a walk ends
 word's rank, which leads to its ids.  Workers map the compiled image into memory.  Units
 that the lexicon lacks are merged exactly, and ids are decoded through the vocabulary.
 
-The lexicon only decides which way a unit is encoded, never its ids, so the choice of its
-words (units seen once in a task aren't counted) can't change a result.
+The lexicon holds the units whose count over all texts reaches a threshold that a histogram
+of the counts gives, so no more than ``lexicon_size`` of them come to the driver.  It only
+decides which way a unit is encoded, never its ids.
 
 Edge cases: null and empty texts have no ids; special tokens inside a text get their own
 id, as the tokenizers library does it; repeated rows give repeated results; an empty table
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bpe import UnitEncoder
+from .lm import rank_of, threshold
 
 MAGIC = b"MATL0001"
 
@@ -124,7 +126,7 @@ class Lexicon:
 
 
 def frequent_units(texts: DataFrame, most: int) -> list[str]:
-    """The ``most`` most frequent blank-separated units of all texts, with their leading blank; ties in text order."""
+    """The most frequent blank-separated units of all texts, with their leading blank, in order: ``most`` at most, units of one step of counts together."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -138,13 +140,15 @@ def frequent_units(texts: DataFrame, most: int) -> list[str]:
         yield from emit(seen)
 
     def emit(seen):
-        kept = [(u, n) for u, n in seen.items() if n > 1 and u and not u[0].isspace() and not u[-1].isspace() and len(u) <= 64]
+        kept = [(u, n) for u, n in seen.items() if u and not u[0].isspace() and not u[-1].isspace() and len(u) <= 64]
         for at in range(0, len(kept), 50_000):
             units, counts = zip(*kept[at : at + 50_000])
             yield pa.RecordBatch.from_pydict({"unit": pa.array(units), "n": pa.array(counts, pa.int64())})
 
-    counted = texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [" " + r.unit for r in counted.orderBy(F.desc("n"), "unit").limit(most).collect()]
+    counted = common.stored(texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    top = counted.where(rank_of("n") >= threshold(counted, most)).select("unit").toArrow().column(0).to_pylist()
+    common.discard(counted)
+    return sorted(" " + u for u in top)
 
 
 def encode_decode(docs: DataFrame, *, vocab_path: str | None = None, lexicon_size: int = 32_768) -> DataFrame:

@@ -31,6 +31,15 @@ def test_lexicon_is_minimal_and_exact():
     assert transducer.Lexicon(transducer.compile_lexicon({})).find(b"a") is None
 
 
+def test_frequent_units_count_every_text(spark, nothing):
+    """Units that every task meets once are as frequent as those that one task meets often."""
+    texts = spark.createDataFrame([(f"x spread only{i}" + " often" * (30 if i == 7 else 0),) for i in range(40)], "text string").repartition(40)
+    assert transducer.frequent_units(texts, 2) == [" often", " spread"]
+    assert transducer.frequent_units(texts, 1) == [" spread"]
+    assert len(transducer.frequent_units(texts, 42)) == 42
+    assert transducer.frequent_units(nothing.select("text"), 5) == []
+
+
 def test_encode_decode_is_exact(nasty, nothing, docs, tokenizer):
     for frame in (nasty, docs):
         got = sorted(transducer.encode_decode(frame, lexicon_size=50).collect(), key=str)
