@@ -147,4 +147,5 @@ ORACLES: dict[str, str] = {name: CHAIN + sql for name, sql in _over_chain.items(
     "benchmark_stats": "SELECT count(value) AS n, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stddev, round(sum(value), 4) AS sum FROM events",
     "index_ranges": """WITH s AS (SELECT DISTINCT (o_orderkey // 100) * 61600 + 600 AS start FROM orders UNION SELECT 0)
   SELECT start, CAST(coalesce(lead(start) OVER (ORDER BY start), 1099511627776) AS BIGINT) AS stop FROM s""",
+    "bz2_streams": "SELECT CAST(c_custkey // 1000 AS VARCHAR) AS path, row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS stream, c_name AS text FROM customer",
 }

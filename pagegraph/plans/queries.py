@@ -9,6 +9,7 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -361,12 +362,19 @@ def xml_roundtrip(spark, sf_dir):
 
 @query
 def bz2_streams(spark, sf_dir):
-    """Stream ranges of files made of one compressed stream a nation."""
-
-    def run(frames):
-        for frame in frames:
-            for _, rows in frame.groupby("n_regionkey"):
-                content = b"".join(bz2.compress(name.encode()) for name in sorted(rows["n_name"]))
-                yield pd.DataFrame([(int(rows["n_regionkey"].iloc[0]), a, b) for a, b in dumps.stream_starts(content)], columns=["region", "start", "stop"])
-
-    return _table(spark, sf_dir, "nation").repartition(1).mapInPandas(run, "region long, start long, stop long")
+    """Files of a thousand customers each, one compressed stream a customer: what every range that is found decompresses to."""
+
+    @F.pandas_udf("binary")
+    def compressed(names: pd.Series) -> pd.Series:
+        return names.map(lambda own: b"".join(bz2.compress(name.encode()) for name in own))
+
+    @F.pandas_udf("string")
+    def text(streams: pd.Series) -> pd.Series:
+        return streams.map(lambda stream: bz2.decompress(stream).decode())
+
+    customers = _table(spark, sf_dir, "customer").withColumn("path", F.expr("cast(div(c_custkey, 1000) as string)"))
+    names = customers.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("own"))
+    files = lineage.stored(names.select("path", compressed(F.col("own.c_name")).alias("content")))
+    stream = F.expr("substring(content, cast(start + 1 as int), cast(stop - start as int))")
+    number = F.row_number().over(W.partitionBy("path").orderBy("start")).cast("long")
+    return dumps.streams_of(files).join(files, "path").select("path", number.alias("stream"), text(stream).alias("text"))

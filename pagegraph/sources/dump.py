@@ -101,12 +101,17 @@ def stream_starts(content: bytes) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(content)]))
 
 
-def bz2_streams(spark: SparkSession, path: str) -> DataFrame:
-    """(path, start, stop) of the streams in bzip2 files, found by their magic numbers; a task reads one file."""
+def streams_of(files: DataFrame) -> DataFrame:
+    """(path, start, stop) of the bzip2 streams in ``files(path, content)``, found by their magic numbers."""
 
     def run(frames):
         for frame in frames:
             rows = [(p, a, b) for p, content in zip(frame["path"], frame["content"]) for a, b in stream_starts(content)]
             yield pd.DataFrame(rows, columns=["path", "start", "stop"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, start long, stop long")
+    return files.select("path", "content").mapInPandas(run, "path string, start long, stop long")
+
+
+def bz2_streams(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, stop) of the streams in bzip2 files; a task reads one file, of 2 GiB at most."""
+    return streams_of(spark.read.format("binaryFile").load(path))
