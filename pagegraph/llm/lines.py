@@ -26,6 +26,8 @@ like ``line_no`` included, pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,8 +45,12 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def with_words(lines: DataFrame, least_words: int) -> DataFrame:
     """The lines long enough to count, with their words instead of the text."""
-    words = F.array_remove(F.split(F.translate("line", BLANKS, " " * len(BLANKS)), " "), "")
-    return lines.withColumn("words", words).drop("line").where(F.size("words") >= least_words)
+    # blank lines are told by their text, so that the filter doesn't split words once more; few lines hold other blanks
+    lines = lines.where(F.trim("line", F.lit(" " + BLANKS)) != "")
+    other = reduce(Column.__or__, [F.col("line").contains(b) for b in BLANKS])
+    line = F.when(other, F.translate("line", BLANKS, " " * len(BLANKS))).otherwise(F.col("line"))
+    out = lines.withColumn("words", F.array_remove(F.split(line, " "), "")).drop("line")
+    return out if least_words <= 1 else out.where(F.size("words") >= least_words)
 
 
 def half_keys() -> Column:
