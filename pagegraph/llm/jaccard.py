@@ -192,6 +192,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 NAMES = ["doc_id", "n", "d1", "d2", "task", "chunk", "counts"]
 SKETCH_BITS, CHUNKS, SPREAD = 23, 64, 64
+COPIES = 256  # keys over which the copies of one text are spread
 
 
 def heat_map(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
@@ -286,10 +287,14 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     told = common.stored(describe(docs, width))
     heat = heat_map(told.where("chunk is not null").select("task", "chunk", "counts"))
     seen = told.where("chunk is null").select("doc_id", "n", "d1", "d2")
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = seen.join(classes, ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    # the copies of one text are spread over ``COPIES`` keys: each key's least row, then the least of a class
+    seen = seen.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)))
+    few = common.stored(seen.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "at").agg(F.min("doc_id").alias("least")))
+    classes = few.groupBy("d1", "d2").agg(F.min("least").alias("rep"))
+    classes = few.select("d1", "d2", "at").join(classes, ["d1", "d2"])
+    named = seen.join(classes, ["d1", "d2", "at"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     named = common.stored(named)
-    common.discard(told)
+    common.discard(told, few)
 
     # groups; a head of many members is spread over ``SPREAD`` keys before it is looked up
     reps = named.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
