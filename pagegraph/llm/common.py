@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bit_map(ids: DataFrame, *columns: str, bits: int) -> DataFrame:
+    """(_w, _b): the words of a bit map of the ``columns`` of ``ids``, at most ``bits / 32`` short rows however large ``ids`` is."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("int")
+    return ids.select(place.alias("_p")).selectExpr("cast(div(_p, 32) as int) as _w", "shiftleft(1L, _p % 32) as _b").groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+
+
 def members_of(df: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 23) -> DataFrame:
     """The rows of ``df`` whose ``columns`` may occur together in ``ids``: all that do, and a few others.
 
@@ -23,9 +29,22 @@ def members_of(df: DataFrame, ids: DataFrame, *columns: str, bits: int = 1 << 23
     large ``ids`` is; it spares most rows the exact join that follows.
     """
     place = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("int")
-    words = ids.select(place.alias("_p")).selectExpr("cast(div(_p, 32) as int) as _w", "shiftleft(1L, _p % 32) as _b").groupBy("_w").agg(F.bit_or("_b").alias("_b"))
     marked = df.withColumn("_p", place).withColumn("_w", F.expr("cast(div(_p, 32) as int)"))
-    return marked.join(F.broadcast(words), "_w").where("shiftright(_b, _p % 32) & 1 = 1").drop("_w", "_b", "_p")
+    return marked.join(F.broadcast(_bit_map(ids, *columns, bits=bits)), "_w").where("shiftright(_b, _p % 32) & 1 = 1").drop("_w", "_b", "_p")
+
+
+def marked(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
+    """``row``, a struct of ``df``'s columns, and ``maybe``: false only where ``column`` isn't in ``ids``, by the bit map of ``members_of``; no row is moved."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
+    rows = df.select(F.struct(*df.columns).alias("row"), place.alias("_p")).withColumn("_w", F.expr("cast(div(_p, 32) as int)"))
+    told = rows.join(F.broadcast(_bit_map(ids, column, bits=bits)), "_w", "left")
+    return told.select("row", F.expr("coalesce(shiftright(_b, _p % 32) & 1 = 1, false)").alias("maybe"))
+
+
+def parted(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` isn't in ``ids``, and those for which an exact join must tell; ``df`` is scanned for each."""
+    told = marked(df, ids, column)
+    return told.where("not maybe").select("row.*"), told.where("maybe").select("row.*")
 
 
 def fold(value: object) -> int:
@@ -41,7 +60,7 @@ def fold_column(name: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-__all__ = ["checkpoint", "discard", "fold", "fold_column", "folder", "members_of", "slices", "stored", "table", "visible"]
+__all__ = ["checkpoint", "discard", "fold", "fold_column", "folder", "marked", "members_of", "parted", "slices", "stored", "table", "visible"]
 
 
 def slices(column, size: int):

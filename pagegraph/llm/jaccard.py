@@ -185,7 +185,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         for chunk, counts in enumerate(sketch.reshape(CHUNKS, -1)):
             if counts.any():
                 one = lambda x, kind: pa.array([x], kind)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), one(task, pa.int64()), one(chunk, pa.int32()), one(zlib.compress(counts.tobytes(), 1), pa.binary())], NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), one(task, pa.int64()), one(chunk, pa.int32()), one(packed(counts), pa.binary())], NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, task long, chunk int, counts binary")
 
@@ -195,17 +195,30 @@ SKETCH_BITS, CHUNKS, SPREAD = 23, 64, 64
 COPIES = 256  # keys over which the copies of one text are spread
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A chunk of the sketch, mostly zeros in one task: which counters aren't, a bit each, then those."""
+    some = counts > 0
+    return zlib.compress(np.packbits(some).tobytes() + counts[some].tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = (1 << SKETCH_BITS) // CHUNKS
+    raw, counts = np.frombuffer(zlib.decompress(data), np.uint8), np.zeros(size, np.uint32)
+    counts[np.unpackbits(raw[: size // 8]).astype(bool)] = raw[size // 8 :].view(np.uint32)
+    return counts
+
+
 def heat_map(parts: DataFrame, fan_in: int = 256) -> np.ndarray:
     """The heat of each counter of the sketch, a byte each, so of fixed size; sketches are added up ``fan_in`` tasks at a time."""
 
     def add(rows: pa.Table) -> np.ndarray:
         total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
         for counts in rows.column("counts"):
-            total += np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+            total += unpacked(counts.as_buffer())
         return np.minimum(total, 2**32 - 1).astype(np.uint32)
 
     def merge(rows: pa.Table) -> pa.Table:
-        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([zlib.compress(add(rows).tobytes(), 1)], pa.binary())})
+        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([packed(add(rows))], pa.binary())})
 
     def mark(rows: pa.Table) -> pa.Table:
         counts = add(rows)
@@ -297,8 +310,11 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     common.discard(told, few)
 
     # groups; a head of many members is spread over ``SPREAD`` keys before it is looked up
+    # only rows that may be copies of another document are held against the representatives; the other prefixes stay where they are
     reps = named.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    prefix = common.stored(prefixes(docs, width, percent, heat).join(reps, "doc_id", "left_semi"))
+    every = common.stored(common.marked(prefixes(docs, width, percent, heat), named.where("rep <> doc_id").select("doc_id"), "doc_id").select("row.*", "maybe"))
+    few = common.stored(every.where("maybe").drop("maybe").join(reps, "doc_id", "left_semi"))
+    prefix = every.where("not maybe").drop("maybe").unionByName(few)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.25))).cast("int")
     headed = prefix.select("doc_id", "n", "head", band.alias("band"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SPREAD)).cast("int").alias("at"))
     large = headed.groupBy("head", "band").count().where(F.col("count") > block).select("head", "band", F.ceil(F.col("count") / block).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("at"))
@@ -313,7 +329,7 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
     shared = posting.groupBy("doc_id").agg(F.count("*").alias("shared"))
     enough = F.expr(f"shared >= 1 + div(div(n * {percent} + 99, 100), 25)")
     members = common.stored(members.join(shared, "doc_id").where(enough).select("doc_id", "n", "k", "gid"))
-    common.discard(prefix)
+    common.discard(every, few)
     every, posting = posting, common.stored(common.members_of(posting, members, "doc_id").join(members, "doc_id"))
     common.discard(every)
     matrix = posting.groupBy("token", "gid").agg(F.min("k").alias("least"), F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("gid", "target")
@@ -351,14 +367,18 @@ def similar(docs: DataFrame, *, width: int = 4, percent: int = 85, block: int =
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs``, all columns, with one document of each component, the one with the smallest doc_id; documents without shingles or doc_id stay."""
     found = common.stored(similar(docs, **how).where("doc_id is not null and n_shingles > 0"))
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    # texts that stay aren't moved, but for the few that the bit map can't tell from those that go
+    sure, open_ = common.parted(docs, gone, "doc_id")
+    kept = sure.unionByName(open_.join(gone, "doc_id", "left_anti").select(*docs.columns))
     again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
     # rows that repeat a doc_id: the one whose text comes last, which is never an empty one
-    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*kept.columns).alias("row"))
+    sure, open_ = common.parted(kept, again, "doc_id")
+    rows = open_.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*kept.columns).alias("row"))
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("row.text")))).where("at = 1").select("row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))
+    return sure.unionByName(open_.join(again, "doc_id", "left_anti").select(*docs.columns)).unionByName(rows.select(*docs.columns))
 
 
 def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import itertools
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 
-from pagegraph.llm import components, jaccard
+from pagegraph.llm import common, components, jaccard
 
 
 def shingles(text, width):
@@ -86,3 +88,45 @@ def test_all_texts_of_a_repeated_doc_id_link(spark):
     rows = [(50, t) for t in texts] + [(10 * k + 10, t) for k, t in enumerate(texts)]
     got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {10}
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(160):040x}" for _ in range(200)) for _ in range(400)]
+    rows = list(enumerate([*texts, *texts[:5]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(True).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(True).size()))
+
+    docs = common.stored(docs)
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        kept = common.stored(jaccard.keep_one(docs, width=5, percent=80))
+        assert moved() - before < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+
+
+def test_packed_sketch():
+    size, rng = (1 << jaccard.SKETCH_BITS) // jaccard.CHUNKS, np.random.default_rng(1)
+    sparse = (rng.random(size) < 0.2).astype(np.uint32)
+    for counts in (np.zeros(size, np.uint32), np.full(size, 2**32 - 1, np.uint32), sparse, sparse * rng.integers(1, 1 << 32, size, np.uint32)):
+        assert np.array_equal(jaccard.unpacked(jaccard.packed(counts)), counts)
+    assert len(jaccard.packed(sparse)) < 0.7 * len(zlib.compress(sparse.tobytes(), 1))
+
+
+def test_a_full_bit_map_loses_no_row(spark):
+    rows = [(i, f"t{i}") for i in range(50)] + [(None, "x"), (7, "again")]
+    df, ids = spark.createDataFrame(rows, "doc_id long, _w string"), spark.range(0, 50, 7).toDF("doc_id")
+    for bits in (32, 1 << 23):
+        told = [(tuple(r.row), r.maybe) for r in common.marked(df, ids, "doc_id", bits=bits).collect()]
+        assert sorted((r for r, _ in told), key=str) == sorted(rows, key=str)
+        assert all(maybe for (i, _), maybe in told if i is not None and i % 7 == 0)
+    sure, open_ = common.parted(df, ids, "doc_id")
+    assert sorted((tuple(r) for r in sure.unionByName(open_).collect()), key=str) == sorted(rows, key=str)
