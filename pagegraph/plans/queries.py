@@ -368,13 +368,14 @@ def bz2_streams(spark, sf_dir):
     def compressed(names: pd.Series) -> pd.Series:
         return names.map(lambda own: b"".join(bz2.compress(name.encode()) for name in own))
 
-    @F.pandas_udf("string")
-    def text(streams: pd.Series) -> pd.Series:
-        return streams.map(lambda stream: bz2.decompress(stream).decode())
+    def texts(frames):
+        for frame in frames:
+            yield frame.assign(text=[bz2.decompress(own).decode() for own in frame["text"]])
 
     customers = _table(spark, sf_dir, "customer").withColumn("path", F.expr("cast(div(c_custkey, 1000) as string)"))
     names = customers.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("own"))
     files = lineage.stored(names.select("path", compressed(F.col("own.c_name")).alias("content")))
-    stream = F.expr("substring(content, cast(start + 1 as int), cast(stop - start as int))")
-    number = F.row_number().over(W.partitionBy("path").orderBy("start")).cast("long")
-    return dumps.streams_of(files).join(files, "path").select("path", number.alias("stream"), text(stream).alias("text"))
+    # streams are numbered without their bytes, and each is cut out where it meets its file: a file isn't copied for every stream
+    ranges = dumps.streams_of(files).withColumn("stream", F.row_number().over(W.partitionBy("path").orderBy("start")).cast("long"))
+    own = F.expr("substring(content, cast(start + 1 as int), cast(stop - start as int))")
+    return ranges.join(files, "path").select("path", "stream", own.alias("text")).mapInPandas(texts, "path string, stream long, text string")
