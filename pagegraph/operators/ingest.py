@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wikitext
-from ..lineage import checkpoint
+from ..lineage import checkpoint, stored
 from .ranking import dense_index
 
 
@@ -51,10 +51,22 @@ def page_links(parsed: DataFrame) -> DataFrame:
     return parsed.select("id", F.explode("link_titles").alias("link"))
 
 
+#: Rows that are sent to every task at most, some 100 MB.
+FEW = 1_000_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows."""
+    table = stored(table)
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def last_wins(parsed: DataFrame) -> DataFrame:
-    """One page a title, the one with the largest id."""
-    latest = parsed.groupBy("title").agg(F.max("id").alias("id"))
-    return parsed.join(latest, ["title", "id"], "left_semi")
+    """One page a title, the one with the largest id; where few lose, the others stay where they are."""
+    named = parsed.where("title is not null")
+    repeated = named.groupBy("title").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("title", "last")
+    lost = named.select("title", "id").join(few(repeated), "title").where("id < last").select("title", "id")
+    return named.join(few(lost), ["title", "id"], "left_anti")
 
 
 def title_universe(parsed: DataFrame) -> DataFrame:
@@ -81,7 +93,9 @@ def dropped_redirects(live: DataFrame, universe: DataFrame, rank: Column | None
     length take a logarithmic number of joins.
     """
     redirects = live.where("is_redirect").select("id", "title", "target", (F.col("id") if rank is None else rank).alias("rank"))
-    names = universe.select(F.col("title").alias("target"), F.lit(True).alias("known"))
+    # of all titles only those that redirects lead to are asked for, before they are made distinct
+    targets = few(redirects.select(F.col("target").alias("title")).distinct())
+    names = universe.join(targets, "title", "left_semi").select(F.col("title").alias("target"), F.lit(True).alias("known"))
     pages = live.select(F.col("title").alias("target"), F.when(F.col("is_redirect"), F.col("id")).alias("next"))
     state = redirects.join(names, "target", "left").join(pages, "target", "left")
     ended = F.when(F.col("known").isNull(), F.lit("fail")).when(F.col("next").isNull(), F.lit("ok"))
@@ -103,9 +117,12 @@ def clean(live: DataFrame, universe: DataFrame, rank: Column | None = None) -> D
 
 
 def edges_of(live: DataFrame) -> DataFrame:
-    """Distinct (src, dst): article links and redirect targets that lead to a live page."""
+    """Distinct (src, dst): article links and redirect targets that lead to a live page.
+
+    A page's link titles are distinct and a title has one live page, so no edge comes twice.
+    """
     links = live.select(F.col("id").alias("src"), F.explode(F.when(F.col("is_redirect"), F.array("target")).otherwise(F.col("link_titles"))).alias("title"))
-    return links.join(live.select("title", F.col("id").alias("dst")), "title").select("src", "dst").distinct()
+    return links.join(live.select("title", F.col("id").alias("dst")), "title").select("src", "dst")
 
 
 def nodes_of(live: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def bfs_levels(graph: Graph, starts: DataFrame, *, most_levels: int | None = Non
     return seen
 
 
-def resolve(graph: Graph, requests: DataFrame) -> DataFrame:
+def resolve(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests(query_id, start, end)`` with the ids of both titles and a status: missing_start, missing_end, missing_both or ok."""
-    ids = graph.nodes.select("title", "id")
+    ids = nodes.select("title", "id")
     found = requests.join(ids.select(F.col("title").alias("start"), F.col("id").alias("start_id")), "start", "left").join(ids.select(F.col("title").alias("end"), F.col("id").alias("end_id")), "end", "left")
     no_start, no_end = F.col("start_id").isNull(), F.col("end_id").isNull()
     status = F.when(no_start & no_end, "missing_both").when(no_start, "missing_start").when(no_end, "missing_end").otherwise("ok")
@@ -135,7 +135,7 @@ def search(graph: Graph, pairs: DataFrame, *, most_rounds: int = 10_000, near: i
 
 def route_batch(graph: Graph, requests: DataFrame) -> DataFrame:
     """Answers ``requests(query_id, start, end)``: status (ok, unreachable or missing_*), hops and the route's titles in order, both ends included."""
-    asked = checkpoint(resolve(graph, requests))
+    asked = checkpoint(resolve(graph.nodes, requests))
     hops, steps = search(graph, asked.where("status = 'ok'"))
     titled = steps.join(graph.nodes.select("id", "title"), "id")
     routes = titled.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "title"))), lambda s: s["title"]).alias("route"))

@@ -257,7 +257,7 @@ def route_unreachable(spark, sf_dir):
 @query
 def route_missing_title(spark, sf_dir):
     asked = _requests(spark, ("Loop 0", "AFRICA"), ("AFRICA", "Nobody"), ("Nobody", "Loop 0"), ("AFRICA", "ASIA"))
-    return paths.resolve(views(spark, sf_dir).graph, asked).select("query_id", "status")
+    return paths.resolve(views(spark, sf_dir).nodes, asked).select("query_id", "status")
 
 
 def _nation_requests(spark, sf_dir):

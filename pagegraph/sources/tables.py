@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import stored
 from ..operators.ranking import dense_index
 
 TABLES = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
@@ -54,5 +55,5 @@ def commerce_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in TABLES:
         sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ").replace(f"FROM {name})", f"FROM {{{name}}})").replace(f"FROM {name}\n", f"FROM {{{name}}}\n")
     frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
-    # kinds are 2**40 apart, so buckets of 2**20 keys keep rows of a kind together
-    return dense_index(spark.sql(sql, **frames), "place", "page_no", bucket_size=1 << 20).select("page_no", "ns", "title", "text")
+    # stored before it is numbered, so that the texts are made once
+    return dense_index(stored(spark.sql(sql, **frames)), "place", "page_no").select("page_no", "ns", "title", "text")
